@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
+from raggedlake.llm.packing import op7_packing
 from raggedlake.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
