@@ -1,9 +1,13 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
 from raggedlake.llm.packing import op7_packing
+from raggedlake.llm.quality_classifier import op2_quality_classifier
+from raggedlake.llm.quality_rules import op4_quality_rules
 from raggedlake.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
     "op10_token_counts": op10_token_counts,
 }

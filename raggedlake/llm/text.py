@@ -7,6 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes handled at a time inside a Python worker (a longer text makes a slice alone).
 SLICE_BYTES = 2 << 20
@@ -21,7 +22,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if not n:
             continue
         arr = batch.column(batch.schema.get_field_index(column))
-        size = pa.compute.binary_length(arr).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.binary_length(arr).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start = np.cumsum(size), 0
         while start < n:
             base = ends[start - 1] if start else 0

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,7 +214,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_
         for b in slices(batches):
             got = texts(b)
             n = np.array(c.totals(got), np.int64)
-            size = pa.compute.binary_length(column(b, "text")).fill_null(0).cast(pa.int64())
+            size = pc.binary_length(column(b, "text")).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([column(b, "id"), size, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
