@@ -4,8 +4,10 @@ from raggedlake.llm.packing import op7_packing
 from raggedlake.llm.quality_classifier import op2_quality_classifier
 from raggedlake.llm.quality_rules import op4_quality_rules
 from raggedlake.llm.token_counts import op10_token_counts
+from raggedlake.llm.vector_index import op3_vector_index
 
 QUERIES = {
+    "op3_vector_index": op3_vector_index,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
