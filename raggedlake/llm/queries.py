@@ -4,6 +4,7 @@ from raggedlake.llm.packing import op7_packing
 from raggedlake.llm.quality_classifier import op2_quality_classifier
 from raggedlake.llm.quality_rules import op4_quality_rules
 from raggedlake.llm.token_counts import op10_token_counts
+from raggedlake.llm.toxicity import op8_toxicity
 from raggedlake.llm.vector_index import op3_vector_index
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
