@@ -2,7 +2,7 @@
 
 Labels are given per document. Word labels for training come from them: a word is a marker if it is in far more
 of the toxic training documents than of the others (see markers()), and the words labelled toxic are the markers inside toxic
-documents. The field has two states (clean, toxic), a weight for each known word and state, and weights for the
+documents. The field has two states (clean, toxic), a weight for each known feature (a word or a beginning of words) and state, and weights for the
 start and the steps between states; it is trained on short runs of words by its exact likelihood, with gradients
 from forward-backward marginals. A whole document is then one chain: forward-backward gives each word's marginal
 probability of being toxic. The score is the largest marginal; the spans are the runs of words at 0.5 or more,
@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raggedlake.llm.quality_classifier import held_out
-from raggedlake.llm.text import column, slices, texts
+from raggedlake.llm.text import CACHE_WORDS, column, slices, texts
 from raggedlake.plans.session import prepare_workers, table
 
 SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 5_000, 0.01
+PREFIXES = range(4, 9)
 #: Share of the best marker's likelihood ratio that every marker has.
 WEAKEST = 0.15
 #: A gap matrix is computed up to this many words; by then it no longer changes but for its scale.
@@ -41,17 +42,49 @@ FAR = 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def features(word: str) -> list[str]:
+    """The word, and its beginnings of PREFIXES letters marked as such: inflected and compound forms share them."""
+    return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+
+
+class Kinds(dict):
+    """Word to kind; words with the same known features are of one kind, 0 being those without any."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known, self.sets = known, {(): 0}
+
+    def __missing__(self, word: str) -> int:
+        have = tuple(sorted(self.known[f] for f in features(word) if f in self.known))
+        kind = self.sets.setdefault(have, len(self.sets))
+        if len(self) < CACHE_WORDS:
+            self[word] = kind
+        return kind
+
+    def matrix(self) -> np.ndarray:
+        """Kinds by features; feature 0 is every word's."""
+        m = np.zeros((len(self.sets), len(self.known) + 1))
+        m[:, 0] = 1
+        for have, kind in self.sets.items():
+            m[kind, list(have)] = 1
+        return m
+
+
 class Field:
-    """The trained field: words (to a position), emit[position, state], start[state], step[state, state]."""
+    """The trained field: known features (to a position from 1), weights[position, state], start[state], step[state, state]."""
 
-    def __init__(self, words: dict[str, int], emit: np.ndarray, start: np.ndarray, step: np.ndarray):
-        self.words, self.emit, self.start, self.step = words, np.exp(emit), np.exp(start), np.exp(step)
-        plain = self.step * self.emit[0]  # into a word that isn't known; position 0 stands for these
+    def __init__(self, known: dict[str, int], weights: np.ndarray, start: np.ndarray, step: np.ndarray):
+        self.known, self.weights, self.start, self.step = known, weights, np.exp(start), np.exp(step)
+        self.kinds, self.emit = Kinds(known), np.exp(weights[:1])
+        plain = self.step * self.emit[0]  # into a word without known features
         self.gaps = [np.eye(2)]
         for _ in range(FAR):
             m = self.gaps[-1] @ plain
             self.gaps.append(m / m.max())
 
+    def __reduce__(self) -> tuple:
+        return Field, (self.known, self.weights, np.log(self.start), np.log(self.step))
+
     def marginals(self, at: list[int], kinds: list[int], n: int) -> np.ndarray:
         """Toxic marginals of the known words of a chain of n words; at: their places, kinds: their positions."""
         k = len(at)
@@ -77,13 +110,14 @@ class Field:
 
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score and toxic spans (start, end, marginal) of a text."""
-        get, known, n = self.words.get, [], 0
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case; keep offsets those of the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found = WORD.findall(low)
-        kinds = [get(w, 0) for w in found]
+        kinds = list(map(self.kinds.__getitem__, found))
         n = len(kinds)
+        if len(self.emit) < len(self.kinds.sets):
+            self.emit = np.exp(self.kinds.matrix() @ self.weights)
         at = [i for i, w in enumerate(kinds) if w]
         if not at:
             return BASE, []
@@ -103,9 +137,9 @@ class Field:
 
 
 def markers(toxic: list[list[str]], clean: list[list[str]], share_of_best: float = WEAKEST) -> set[str]:
-    """Words whose link to toxic texts can't be chance, given how many words are tried.
+    """Features whose link to toxic texts can't be chance, given how many words are tried.
 
-    A word's support is the number of different neighbourhoods (the words before and after) it has, a text
+    A feature's support is the number of different neighbourhoods (the words before and after) it has, a text
     counting once; so the words that near copies of one text share have a support of about one. A marker is ten
     times as frequent in toxic texts and its likelihood ratio G2 exceeds 10 + 2 ln(words tried), and share_of_best
     of the largest: weaker links come from long texts and wrong labels.
@@ -115,8 +149,12 @@ def markers(toxic: list[list[str]], clean: list[list[str]], share_of_best: float
         around: dict[str, set] = defaultdict(set)
         for x in part:
             first = {w: i for i, w in reversed(list(enumerate(x)))}
+            seen = set()
             for w, i in first.items():
-                around[w].add((x[i - 1] if i else "", x[i + 1] if i + 1 < len(x) else ""))
+                for f in features(w):
+                    if f not in seen:
+                        seen.add(f)
+                        around[f].add((x[i - 1] if i else "", x[i + 1] if i + 1 < len(x) else ""))
         support.append({w: len(c) for w, c in around.items()})
     t, c = support
     nt, nc = len(toxic), len(clean)
@@ -132,20 +170,21 @@ def markers(toxic: list[list[str]], clean: list[list[str]], share_of_best: float
     return {w for w, g in ratio.items() if g >= share_of_best * most}
 
 
-def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: int, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (emit, start, step) that maximise the likelihood of labels over padded runs of word positions."""
+def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, matrix: np.ndarray, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> list[np.ndarray]:
+    """Weights (features, start, step) that maximise the likelihood of labels over padded runs of kinds."""
     n, width = runs.shape
-    w = [np.zeros((size, 2)), np.zeros(2), np.zeros((2, 2))]
+    w = [np.zeros((matrix.shape[1], 2)), np.zeros(2), np.zeros((2, 2))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     live = np.arange(width)[None] < lengths[:, None]
     rows = np.arange(n)
-    seen = [np.zeros_like(x) for x in w]
+    seen = [np.zeros((len(matrix), 2)), np.zeros(2), np.zeros((2, 2))]
     np.add.at(seen[0], (runs[live], labels[live]), 1)
+    seen[0] = matrix.T @ seen[0]
     np.add.at(seen[1], labels[:, 0], 1)
     pair = live[:, 1:]
     np.add.at(seen[2], (labels[:, :-1][pair], labels[:, 1:][pair]), 1)
     for t in range(1, steps + 1):
-        emit, start, step = np.exp(w[0])[runs], np.exp(w[1]), np.exp(w[2])
+        emit, start, step = np.exp(matrix @ w[0])[runs], np.exp(w[1]), np.exp(w[2])
         fore, back = np.empty((width, n, 2)), np.ones((width, n, 2))
         a = start * emit[:, 0]
         for i in range(width):
@@ -153,7 +192,7 @@ def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: int,
                 a = np.where(live[:, i, None], (a @ step) * emit[:, i], a)
             a = a / a.sum(1, keepdims=True)
             fore[i] = a
-        want = [np.zeros_like(x) for x in w]
+        want = [np.zeros((len(matrix), 2)), np.zeros(2), np.zeros((2, 2))]
         for i in range(width - 1, 0, -1):
             x = emit[:, i] * back[i]
             b = x @ step.T
@@ -165,19 +204,20 @@ def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: int,
         marg /= marg.sum(2, keepdims=True)
         marg = marg.transpose(1, 0, 2)
         for s in range(2):
-            want[0][:, s] = np.bincount(runs[live], marg[..., s][live], size)
+            want[0][:, s] = np.bincount(runs[live], marg[..., s][live], len(matrix))
+        want[0] = matrix.T @ want[0]
         want[1] = marg[rows, 0].sum(0)
         for i, x in enumerate(w):
             g = (want[i] - seen[i]) / n + penalty * x
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             w[i] = x - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
-    return w[0], w[1], w[2]
+    return w
 
 
 def fit(docs: list[tuple[str, int]], seed: int = SEED) -> Field | None:
     """The field learnt from (text, 0 or 1)."""
-    words = [(WORD.findall(t.lower()), y) for t, y in docs]
+    words = [(WORD.findall(t.lower()), y) for t, y in dict.fromkeys(docs)]
     toxic, clean = [x for x, y in words if y], [x for x, y in words if not y]
     if not toxic or not clean:
         return None
@@ -185,21 +225,20 @@ def fit(docs: list[tuple[str, int]], seed: int = SEED) -> Field | None:
     if not mark:
         return None
     near = Counter(w for x in toxic for i, v in enumerate(x) if v in mark for w in x[max(0, i - 2) : i + 3] if w not in mark)
-    known = sorted(mark) + [w for w, c in near.most_common(KNOWN) if c >= 20]
-    at = {w: i + 1 for i, w in enumerate(known)}
+    known = {w: i + 1 for i, w in enumerate(sorted(mark) + [w for w, c in near.most_common(KNOWN) if c >= 20])}
+    kinds = Kinds(known)
     rng = np.random.default_rng(seed)
     runs, marks = [], []
     for x, y in words:
         for i in range(0, len(x), RUN):
             run = x[i : i + RUN]
-            lab = [int(bool(y) and w in mark) for w in run]
-            if any(lab) or rng.random() < 0.05:
-                runs.append([at.get(w, 0) for w in run])
-                marks.append(lab)
+            hit = [int(not mark.isdisjoint(features(w))) for w in run]
+            if any(hit) or rng.random() < 0.05:
+                runs.append([kinds[w] for w in run])
+                marks.append(hit if y else [0] * len(run))
     lengths = np.array([len(r) for r in runs])
     pad = lambda z: np.array([r + [0] * (RUN - len(r)) for r in z])
-    emit, start, step = train(pad(runs), pad(marks), lengths, len(at) + 1)
-    return Field(at, emit, start, step)
+    return Field(known, *train(pad(runs), pad(marks), lengths, kinds.matrix()))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
