@@ -53,10 +53,14 @@ class WordEncoder:
         """Ids of words, by way of their pieces, which are fewer; a word that may hold a special string goes whole."""
         split = []
         for w in words:
-            if "<|" in w:
-                split.append([w])
+            if w.isascii():
+                if w.isalpha() or "<|" in w:
+                    split.append((w,))
+                    continue
+            elif "<|" in w:
+                split.append((w,))
                 continue
-            if not w.isascii():
+            else:
                 w = "".join(map(str.lower, unicodedata.normalize("NFC", w)))
             split.append(PIECES.findall(w))
         if len(self.pieces) > CACHE_WORDS:

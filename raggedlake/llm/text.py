@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: Text bytes handled at a time inside a Python worker (a longer text makes a slice alone).
 SLICE_BYTES = 2 << 20
 #: Words an encoder's cache holds before it starts again.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
