@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
+from raggedlake.llm.license_scan import op1_license_scan
 from raggedlake.llm.packing import op7_packing
 from raggedlake.llm.quality_classifier import op2_quality_classifier
 from raggedlake.llm.quality_rules import op4_quality_rules
@@ -8,6 +9,7 @@ from raggedlake.llm.toxicity import op8_toxicity
 from raggedlake.llm.vector_index import op3_vector_index
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_vector_index": op3_vector_index,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
