@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
 from raggedlake.llm.license_scan import op1_license_scan
+from raggedlake.llm.ngram_join import op5_ngram_join
 from raggedlake.llm.packing import op7_packing
 from raggedlake.llm.quality_classifier import op2_quality_classifier
 from raggedlake.llm.quality_rules import op4_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_vector_index": op3_vector_index,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
