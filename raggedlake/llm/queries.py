@@ -5,6 +5,7 @@ from raggedlake.llm.ngram_join import op5_ngram_join
 from raggedlake.llm.packing import op7_packing
 from raggedlake.llm.quality_classifier import op2_quality_classifier
 from raggedlake.llm.quality_rules import op4_quality_rules
+from raggedlake.llm.suffix_dedup import op9_suffix_dedup
 from raggedlake.llm.token_counts import op10_token_counts
 from raggedlake.llm.toxicity import op8_toxicity
 from raggedlake.llm.vector_index import op3_vector_index
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
