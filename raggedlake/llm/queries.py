@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
+from raggedlake.llm.byte_bpe import op6_byte_bpe
 from raggedlake.llm.license_scan import op1_license_scan
 from raggedlake.llm.ngram_join import op5_ngram_join
 from raggedlake.llm.packing import op7_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,

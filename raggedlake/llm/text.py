@@ -45,6 +45,19 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column(batch, name).cast(pa.binary()).to_pylist()]
 
 
+def spaced_words(text: str) -> tuple[str, list[str]]:
+    """A head and the words after it, each to be read with one space before it.
+
+    Splitting patterns that attach a space to the following word match head and words separately just as they
+    match the text. A space between two white-space characters belongs to a longer run; such a text is all head.
+    """
+    words = text.split(" ")
+    for a, b in zip(words, words[1:]):
+        if (not a or a[-1].isspace()) and (not b or b[0].isspace()):
+            return text, []
+    return words[0], words[1:]
+
+
 class WordIds:
     """Ids of words, each word encoded once while the cache lasts.
 

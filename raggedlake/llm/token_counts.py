@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raggedlake.llm.text import CACHE_WORDS, WordIds, column, slices, texts
+from raggedlake.llm.text import CACHE_WORDS, WordIds, column, slices, spaced_words, texts
 from raggedlake.plans.session import prepare_workers, table
 
 #: Pairs of tokens whose stability is remembered; the memory is emptied beyond that.
@@ -147,14 +147,11 @@ class PrefixCounter:
                 parts = self.whole.split(text)
                 out[k] = sum(self.totals(parts)) + len(parts) - 1
             elif text:
-                words = text.split(" ")
-                out[k] = self.piece_total(words[0])
-                # a space between two white-space characters belongs to a longer run: no cut there
-                if len(words) > 1 and any((not a or a[-1].isspace()) and (not b or b[0].isspace()) for a, b in zip(words, words[1:]) if not a or not b or b[0] < "!" or b[0] > "~"):
-                    out[k] = self.piece_total(text)
-                elif len(words) > 1:
-                    flat += words[1:]
-                    sizes.append(len(words) - 1)
+                head, words = spaced_words(text)
+                out[k] = self.piece_total(head)
+                if words:
+                    flat += words
+                    sizes.append(len(words))
                     where.append(k)
         if flat:
             at = self.words.lookup(flat)
