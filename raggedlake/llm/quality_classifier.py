@@ -72,20 +72,42 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float =
     return w, float((s[k - 1] + s[k]) / 2)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Per document: id, held_out, score, predicted. Labels of rows with crc32(id) mod parts = part aren't used."""
-    feats = materialize(text_stats(docs, [id_col], text_col).select(F.col(id_col), *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items())), "features")
+def fit(feats: DataFrame, labels: DataFrame, parts: int, part: int, sample: int, id_col: str, label_col: str) -> tuple[np.ndarray, float]:
+    """Weights and cut from a table of ids and FEATURES and the labels that may be used."""
     known = labels.select(F.col(id_col), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(id_col, parts, part))
     known = known.orderBy(F.xxhash64(id_col), "_y").limit(sample)  # bounded by sample
     rows = feats.join(F.broadcast(known), id_col).orderBy(id_col, "_y").limit(2 * sample).toPandas()
-    x = rows[list(FEATURES)].to_numpy(float).reshape(len(rows), len(FEATURES))
-    w, cut = fit_pairs(x, rows["_y"].to_numpy())
+    return fit_pairs(rows[list(FEATURES)].to_numpy(float).reshape(len(rows), len(FEATURES)), rows["_y"].to_numpy())
+
+
+def score(w: np.ndarray, cut: float, of=F.col) -> Column:
+    """The score from feature columns; of makes a column of a feature's name."""
     s = F.lit(-cut)
     for k, v in zip(FEATURES, w):
-        s = s + F.col(k) * float(v)
-    out = feats.select(F.col(id_col), F.coalesce(held_out(id_col, parts, part), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-s))).alias("score"))
+        s = s + of(k) * float(v)
+    return 1 / (1 + F.exp(-s))
+
+
+def features_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    found = text_stats(docs, [id_col], text_col).select(F.col(id_col), *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()))
+    return materialize(found, "features")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Per document: id, held_out, score, predicted. Labels of rows with crc32(id) mod parts = part aren't used."""
+    feats = features_of(docs, id_col, text_col)
+    model = fit(feats, labels, parts, part, sample, id_col, label_col)
+    out = feats.select(F.col(id_col), F.coalesce(held_out(id_col, parts, part), F.lit(False)).alias("held_out"), score(*model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs whose score is 0.5 or more. The texts are read twice and never shuffled."""
+    model = fit(features_of(docs, id_col, text_col), labels, parts, part, sample, id_col, label_col)
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    found = text_stats(rows, ["_row"], text_col)
+    return found.where(score(*model, of=lambda k: F.expr(FEATURES[k]).cast("double")) >= 0.5).select("_row.*")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,5 +1,7 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
+from pyspark.sql import DataFrame, SparkSession
+
 from raggedlake.llm.byte_bpe import op6_byte_bpe
 from raggedlake.llm.license_scan import op1_license_scan
 from raggedlake.llm.ngram_join import op5_ngram_join
@@ -11,7 +13,15 @@ from raggedlake.llm.token_counts import op10_token_counts
 from raggedlake.llm.toxicity import op8_toxicity
 from raggedlake.llm.vector_index import op3_vector_index
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_license_scan": op1_license_scan,
     "op3_vector_index": op3_vector_index,
     "op2_quality_classifier": op2_quality_classifier,
@@ -23,4 +33,5 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
+#: No query here has an SQL form that finishes on whole tables; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -255,7 +255,7 @@ def _runs_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, tk, start, end), maybe overlapping: the bytes to remove. docs: id (not null), tk (xxhash64 of the text), text."""
     gram = min(gram, length)
-    found = _runs_of(docs, length, gram)
+    found = _runs_of(docs.select("id", "tk", "text"), length, gram)
     often = found.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 or o").select("v")
     rows = materialize(found.join(often, "v"), "runs")
     kinds = rows.groupBy("v", "same").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "tk", "first", "count")).alias("r"), F.max("own").alias("own"))
@@ -323,19 +323,20 @@ def merged(pairs: list, limit: int) -> list[tuple[int, int]]:
     return [(s, min(e, limit)) for s, e in out]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (a stand-in for null), tk and text."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """id (a stand-in for null), tk and text, and the columns carry as one."""
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
 
 
 def _real_id(c: Column) -> Column:
     return F.when(c != NO_ID, c)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes adds tk (xxhash64 of the text), kept and spans."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes adds kept and spans; carry: further columns, as one."""
     prepare_workers(docs.sparkSession)
-    plain = keyed(docs, id_col, text_col)
+    plain = keyed(docs, id_col, text_col, carry)
     cut = removed_spans(plain, length, gram).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,11 +355,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
             cols = [column(b, "id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_bytes:
-                cols += [column(b, "tk"), pa.array(keep, pa.binary()), pa.array([[{"start": s, "end": e} for s, e in g] for g in gone], span)]
-                names += ["tk", "kept", "spans"]
+                cols += [pa.array(keep, pa.binary()), pa.array([[{"start": s, "end": e} for s, e in g] for g in gone], span)]
+                names += ["kept", "spans"]
+            if carry:
+                cols.append(column(b, "carry"))
+                names.append("carry")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", tk long, kept binary, spans array<struct<start:bigint,end:bigint>>" * with_bytes
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:bigint,end:bigint>>" * with_bytes
+    if carry:
+        schema += f", carry {plain.schema['carry'].dataType.simpleString()}"
     out = plain.join(cut, ["id", "tk"], "left").mapInArrow(run, schema)
     return out.select(_real_id(F.col("id")).alias(id_col), *out.columns[1:])
 
