@@ -39,12 +39,13 @@ PREFIXES = range(4, 9)
 WEAKEST = 0.15
 #: A gap matrix is computed up to this many words; by then it no longer changes but for its scale.
 FAR = 256
-WORD = re.compile(r"[^\W\d_]+")
+WORD, TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
 
 
-def features(word: str) -> list[str]:
-    """The word, and its beginnings of PREFIXES letters marked as such: inflected and compound forms share them."""
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+def features(token: str) -> list[str]:
+    """The words (runs of letters) of a token between white space, and their beginnings of PREFIXES letters marked as
+    such: inflected and compound forms share them."""
+    return [f for w in WORD.findall(token) for f in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k))]
 
 
 class Kinds(dict):
@@ -55,7 +56,7 @@ class Kinds(dict):
         self.known, self.sets = known, {(): 0}
 
     def __missing__(self, word: str) -> int:
-        have = tuple(sorted(self.known[f] for f in features(word) if f in self.known))
+        have = tuple(sorted({self.known[f] for f in features(word) if f in self.known}))
         kind = self.sets.setdefault(have, len(self.sets))
         if len(self) < CACHE_WORDS:
             self[word] = kind
@@ -113,7 +114,7 @@ class Field:
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case; keep offsets those of the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        found = WORD.findall(low)
+        found = low.split()
         kinds = list(map(self.kinds.__getitem__, found))
         n = len(kinds)
         if len(self.emit) < len(self.kinds.sets):
@@ -126,7 +127,7 @@ class Field:
         hot = {at[i]: float(p[i]) for i in range(len(at)) if p[i] >= 0.5}
         if hot:
             last = -2
-            for i, m in enumerate(WORD.finditer(low)):
+            for i, m in enumerate(TOKEN.finditer(low)):
                 if i in hot:
                     if last == i - 1:
                         spans[-1] = (spans[-1][0], m.end(), max(spans[-1][2], hot[i]))
@@ -217,14 +218,14 @@ def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, matrix: np.
 
 def fit(docs: list[tuple[str, int]], seed: int = SEED) -> Field | None:
     """The field learnt from (text, 0 or 1)."""
-    words = [(WORD.findall(t.lower()), y) for t, y in dict.fromkeys(docs)]
+    words = [(t.lower().split(), y) for t, y in dict.fromkeys(docs)]
     toxic, clean = [x for x, y in words if y], [x for x, y in words if not y]
     if not toxic or not clean:
         return None
     mark = markers(toxic, clean)
     if not mark:
         return None
-    near = Counter(w for x in toxic for i, v in enumerate(x) if v in mark for w in x[max(0, i - 2) : i + 3] if w not in mark)
+    near = Counter(f for x in toxic for i, v in enumerate(x) if not mark.isdisjoint(features(v)) for w in x[max(0, i - 2) : i + 3] for f in WORD.findall(w) if f not in mark)
     known = {w: i + 1 for i, w in enumerate(sorted(mark) + [w for w, c in near.most_common(KNOWN) if c >= 20])}
     kinds = Kinds(known)
     rng = np.random.default_rng(seed)
