@@ -5,11 +5,12 @@ Documents link when their sets of word n-grams reach the Jaccard limit. Three st
 1. Where two sets can meet. Sets that link differ in at most d n-grams, d fixed by the limit and the larger set.
    Deal the n-grams by hash into d + 1 parts: one part at least is then the same in both. Each document's parts are
    hashed to signatures (about d of them), and equal signatures make candidate pairs. Sizes are banded so that
-   both documents of a pair use the same number of parts. A worker first pairs equal signatures among its own
-   rows, each with the smallest id, and passes on only that id: a signature that a third of all documents share
-   is one entry from each worker's batch.
-2. The connected components of these candidate pairs. Linked documents are in one component, so each document's
-   set travels to one place only. Documents of equal sets travel as one.
+   both documents of a pair use the same number of parts. Where few documents have a signature, each pair of
+   them is tested by size and by bitmaps of parities, which can only rule out what can't link. Where many have
+   it, all are paired with the smallest id. A worker does this among its own rows first and passes on only the
+   smallest id of many: a signature that a third of all documents share is one entry from each worker's batch.
+2. The connected components of these pairs. Linked documents are in one component, so each document's set
+   travels to one place only. Documents of equal sets travel as one.
 3. In a component, the T-occurrence search: a document's n-grams are inverted lists; a partner must occur on at
    least T of them. The L longest lists are set aside; the others are merged, keeping what occurs T - L times or
    more; these candidates are looked up in the long lists by binary search. Documents already joined are not looked
@@ -44,6 +45,10 @@ from raggedlake.plans.session import materialize, prepare_workers, table
 BATCH = 1_000_000
 #: n-grams that one search task holds; documents that share one bucket of signatures, about.
 TASK_GRAMS, BUCKET_DOCS = 3_000_000, 2_000
+#: So many documents with one signature are all paired; more are paired with the smallest id only.
+FEW = 8
+#: Bits of a document's bitmap; rows of the broadcast table that spares texts the shuffle.
+BITS, MARKS = 2048, 1 << 19
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -110,15 +115,42 @@ class Bands:
         return np.concatenate(out)
 
 
-def _pair_up(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each signature the smallest id; and pairs (smallest, other), distinct."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
-    low = ids[first][np.cumsum(first) - 1] if len(sig) else ids
-    more = low != ids
-    pairs = np.unique(np.stack([low[more], ids[more]], 1), axis=0) if more.any() else np.empty((0, 2), np.int64)
-    return sig[first], ids[first], pairs
+def _pair_up(sig: np.ndarray, ids: np.ndarray, wild: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids with equal signatures, and what to pass on: (star pairs, all pairs, sig, ids, wild).
+
+    Up to FEW ids are paired with each other and all passed on. More, or ids of which one is wild (it stands for
+    many), are paired with the smallest only, and that one is passed on as wild.
+    """
+    order = np.lexsort((wild, ids, sig))
+    sig, ids, wild = sig[order], ids[order], wild[order]
+    if not len(sig):
+        return np.empty((0, 2), np.int64), np.empty((0, 2), np.int64), sig, ids, wild
+    same = np.concatenate([[False], (sig[1:] == sig[:-1]) & (ids[1:] == ids[:-1])])
+    if same.any():  # one entry an id, wild if any was
+        at = np.flatnonzero(~same)
+        sig, ids, wild = sig[at], ids[at], np.logical_or.reduceat(wild, at)
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(sig)))
+    many = (size > FEW) | np.logical_or.reduceat(wild, start)
+    group = np.cumsum(first) - 1
+    big = many[group]
+    star = big & ~first
+    stars = np.unique(np.stack([ids[start[group[star]]], ids[star]], 1), axis=0) if star.any() else np.empty((0, 2), np.int64)
+    pairs = []
+    for step in range(1, FEW):
+        i = np.flatnonzero(~big[:-step] & (group[step:] == group[:-step])) if len(ids) > step else np.empty(0, np.int64)
+        if not len(i):
+            break
+        pairs.append(np.stack([ids[i], ids[i + step]], 1))
+    few = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+    on = ~big | first
+    return stars, few, sig[on], ids[on], big[on]
+
+
+def bitmap(grams: np.ndarray) -> bytes:
+    """Parities of the n-grams dealt to BITS places: two sets differ in at least as many n-grams as bits."""
+    return np.packbits(np.bincount((mix(grams ^ _M2) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
 class Search:
@@ -196,56 +228,73 @@ def forest(sets: list[np.ndarray], limit: Fraction, side: np.ndarray | None = No
 
 
 def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int) -> DataFrame:
-    """kind 0: a document's id, set size and key; 1: a bucket's signatures and smallest ids; 2: pairs of ids."""
+    """kind 0: a document's id, set size, key and bitmap; 1 and 2: a bucket's signatures and ids (2: wild ones); 3: pairs of ids that need no test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, held, size = Bands(limit), [], 0
-        names = ["kind", "id", "n", "key", "bucket", "x", "y"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        bands = Bands(limit)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: dict[bytes, int] = {}
+        copies: list[tuple[int, int]] = []
+        size = 0
+        names = ["kind", "id", "n", "key", "bits", "bucket", "x", "y"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
         def rows(**cols) -> pa.RecordBatch:
             n = max(map(len, cols.values()))
             return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, ids, pairs = _pair_up(np.concatenate([s for s, _ in held]), np.concatenate([i for _, i in held]))
-            b = (sig >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(b, kind="stable")
-            sig, ids, b = sig[order], ids[order], b[order]
-            cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, int)
-            spans = list(zip(cuts, cuts[1:]))
-            if spans:
-                yield rows(kind=[1] * len(spans), bucket=[int(b[i]) for i, _ in spans], x=[sig[i:j].tobytes() for i, j in spans], y=[ids[i:j].tobytes() for i, j in spans])
-            for i in range(0, len(pairs), 50_000):
-                p = pairs[i : i + 50_000]
-                yield rows(kind=[2], x=[p[:, 0].tobytes()], y=[p[:, 1].tobytes()])
+            sig, ids = np.concatenate([s for s, _ in held]), np.concatenate([i for _, i in held])
+            stars, _, sig, ids, wild = _pair_up(sig, ids, np.zeros(len(ids), bool))
+            bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
+            for kind, part in ((1, ~wild), (2, wild)):
+                order = np.argsort(bucket[part], kind="stable")
+                b, x, y = bucket[part][order], sig[part][order], ids[part][order]
+                if len(b):
+                    cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+                    spans = list(zip(cuts, cuts[1:]))
+                    yield rows(kind=[kind] * len(spans), bucket=[int(b[i]) for i, _ in spans], x=[x[i:j].tobytes() for i, j in spans], y=[y[i:j].tobytes() for i, j in spans])
+            sure = np.concatenate([stars, np.array(copies, np.int64).reshape(-1, 2)])
+            for i in range(0, len(sure), 50_000):
+                p = sure[i : i + 50_000]
+                yield rows(kind=[3], x=[p[:, 0].tobytes()], y=[p[:, 1].tobytes()])
 
         for batch in slices(batches):
             sets = gram_sets(raw_texts(batch), n)
             ids = column(batch, "id").to_pylist()
-            yield rows(kind=[0] * len(ids), id=ids, n=[len(s) for s in sets], key=[hashlib.md5(s.tobytes()).digest() for s in sets])
-            for i, s in zip(ids, sets):
-                if i is not None and len(s):
-                    got = bands.signatures(s)
-                    held.append((got, np.full(len(got), i, np.int64)))
-                    size += len(got)
+            keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
+            yield rows(kind=[0] * len(ids), id=ids, n=[len(s) for s in sets], key=keys, bits=[bitmap(s) for s in sets])
+            for i, s, k in zip(ids, sets, keys):
+                if i is None or not len(s):
+                    continue
+                if k in seen:  # an equal set: its signatures are the first one's
+                    copies.append((seen[k], i))
+                    continue
+                seen[k] = i
+                got = bands.signatures(s)
+                held.append((got, np.full(len(got), i, np.int64)))
+                size += len(got)
             if size >= BATCH:
                 yield from flush()
-                held, size = [], 0
+                held, seen, copies, size = [], {}, [], 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "kind int, id long, n long, key binary, bucket long, x binary, y binary")
+    return docs.mapInArrow(run, "kind int, id long, n long, key binary, bits binary, bucket long, x binary, y binary")
 
 
 def _bucket_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, sure): pairs that equal signatures of a bucket make."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(t["x"].to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(t["y"].to_pylist()), np.int64)
-        _, _, pairs = _pair_up(sig, ids)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        wild = np.repeat(t["kind"].to_numpy() == 2, [len(v) // 8 for v in t["x"].to_pylist()])
+        stars, few, *_ = _pair_up(sig, ids, wild)
+        both = np.concatenate([stars, few])
+        return pa.table({"a": both[:, 0], "b": both[:, 1], "sure": np.arange(len(both)) < len(stars)}, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())]))
 
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long, sure boolean")
 
 
 def _unpack(rows: DataFrame) -> DataFrame:
@@ -257,6 +306,26 @@ def _unpack(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps don't rule a link out."""
+    p, q = limit.numerator, limit.denominator
+    size = sets.select("id", "n", "bits")
+    rows = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+    rows = rows.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+    rows = rows.where(F.greatest("na", "nb") * p <= F.least("na", "nb") * q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("xa", "xb"))
+                apart = np.bitwise_count(x ^ y).sum(1)
+                most = (q - p) * (column(b, "na").to_numpy() + column(b, "nb").to_numpy()) // (q + p)
+                keep = pa.array(apart <= most)
+                yield pa.RecordBatch.from_arrays([column(b, c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return rows.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -265,7 +334,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4
     buckets = max(64, min(1 << 20, plain.count() // BUCKET_DOCS))
     first = materialize(_first_pass(plain, n, limit, buckets), "grams")
     sets = first.where("kind = 0").select("id", "n", "key")
-    pairs = _bucket_pairs(first.where("kind = 1").select("bucket", "x", "y")).unionByName(_unpack(first.where("kind = 2").select("x", "y")))
+    met = materialize(_bucket_pairs(first.where("kind in (1, 2)").select("kind", "bucket", "x", "y")), "met")
+    few = met.where("not sure").select("a", "b").distinct()
+    pairs = _possible(few, first.where("kind = 0"), limit).unionByName(met.where("sure").select("a", "b")).unionByName(_unpack(first.where("kind = 3").select("x", "y")))
     maybe = materialize(components(pairs), "maybe")
 
     # a node for each distinct set of a candidate component: the smallest id that has it
@@ -283,7 +354,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4
         placed = placed.withColumn("grams_small", F.col("m") <= 2).withColumn("other", other)
         task = F.when(F.col("grams_small"), F.struct(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("t"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("label").alias("t"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
         placed = placed.select("id", "label", "block", task.alias("task"))
-        work = plain.join(placed, "id").select("task.t", "task.i", "task.j", "label", "block", "id", "text")
+        # before the texts are shuffled, most others are left out by a table of at most MARKS rows
+        mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+        marks = placed.select(mark.alias("_mark")).distinct()
+        texts = plain.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+        work = texts.join(placed, "id").select("task.t", "task.i", "task.j", "label", "block", "id", "text")
 
         def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             out = []
