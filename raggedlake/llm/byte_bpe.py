@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A worker gathers the distinct pieces (matches of the splitting pattern) of a chunk of texts into one row; the texts
-keep positions in it. transform() then encodes each distinct piece once: aggregate() folds the ranked merges over
+A worker gathers the distinct pieces (matches of the splitting pattern) of its texts; after each chunk of text a row
+carries those that are new, and the texts keep positions among all so far. transform() then encodes each distinct piece once: aggregate() folds the ranked merges over
 the piece's bytes, each step joining the neighbours of the lowest rank, the leftmost of equals, until no
 neighbours have a rank. The ranks are a literal: an array of small maps, picked by a checksum of the key, as a
 look-up in one large Spark map would read it from end to end. Decoding looks the ids up in a literal array and
@@ -19,6 +19,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from raggedlake.llm.text import CACHE_WORDS, WordIds, column, slices, spaced_words, texts
 from raggedlake.plans.session import prepare_workers, table
 
-#: Text bytes whose distinct pieces make one row.
-CHUNK = 12 << 20
+#: Text bytes after which a row is sent; pieces that a task remembers before it starts again.
+CHUNK, PIECES = 2 << 20, 1_000_000
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
 
@@ -101,7 +102,8 @@ def decode_pieces(ids: Column, path: str) -> Column:
 
 
 def chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """(ids, places, sizes, pieces): a chunk's row ids, the positions of each text's pieces, how many each has, and the distinct pieces."""
+    """(ids, places, sizes, first, pieces): a chunk's row ids, its texts' pieces as positions, how many each has, the position
+    of the first new piece (0: positions begin anew), and the new pieces. Rows of one task belong together, in order."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +114,13 @@ def chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
             return known.setdefault(piece, len(known))
 
         words = WordIds(lambda new: [[place(p) for p in match.findall(" " + w)] for w in new], 1 << 40)
-        ids, places, sizes, held = [], [], [], 0
+        ids, places, sizes, held, sent = [], [], [], 0, 0
         id_type = None
 
         def flush() -> pa.RecordBatch:
-            pieces = pa.array([[p.encode().decode("latin-1") for p in known]], pa.list_(pa.string()))
-            cols = [pa.array([ids], pa.list_(id_type)), pa.array([np.concatenate(places).astype("<i4").tobytes()]), pa.array([np.array(sizes, "<i8").tobytes()]), pieces]
-            return pa.RecordBatch.from_arrays(cols, ["ids", "places", "sizes", "pieces"])
+            pieces = pa.array([[p.encode().decode("latin-1") for p in islice(known, sent, None)]], pa.list_(pa.string()))
+            cols = [pa.array([ids], pa.list_(id_type)), pa.array([np.concatenate(places).astype("<i4").tobytes()]), pa.array([np.array(sizes, "<i8").tobytes()]), pa.array([sent], pa.int32()), pieces]
+            return pa.RecordBatch.from_arrays(cols, ["ids", "places", "sizes", "first", "pieces"])
 
         for b in slices(batches):
             id_type = column(b, "id").type
@@ -133,15 +135,17 @@ def chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
                 sizes.append(len(places[-1]))
             ids += column(b, "id").to_pylist()
             held += sum(map(len, got))
-            if held >= chunk or len(words.index) > CACHE_WORDS:
+            if held >= chunk:
                 yield flush()
-                known.clear()
-                words.clear()
-                ids, places, sizes, held = [], [], [], 0
+                ids, places, sizes, held, sent = [], [], [], 0, len(known)
+                if len(known) > PIECES or len(words.index) > CACHE_WORDS:
+                    known.clear()
+                    words.clear()
+                    sent = 0
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, pieces array<string>")
+    return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, first int, pieces array<string>")
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -154,14 +158,17 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     rows = rows.withColumn("dec", decode_pieces(F.col("enc"), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, size, dec = np.empty(0, np.int32), np.empty(0, np.int64), []
         for b in batches:
             for r in range(b.num_rows):
                 one = b.slice(r, 1)
-                enc, dec = (column(one, c).flatten() for c in ("enc", "dec"))
-                flat = enc.flatten().to_numpy()
-                size = enc.value_lengths().to_numpy().astype(np.int64)
+                enc = column(one, "enc").flatten()
+                if column(one, "first")[0].as_py() == 0:
+                    flat, size, dec = np.empty(0, np.int32), np.empty(0, np.int64), []
+                flat = np.concatenate([flat, enc.flatten().to_numpy()])
+                size = np.concatenate([size, enc.value_lengths().to_numpy().astype(np.int64)])
                 offs = np.cumsum(size) - size
-                dec = dec.to_pylist()
+                dec += column(one, "dec").flatten().to_pylist()
                 places = np.frombuffer(column(one, "places")[0].as_py(), "<i4")
                 sizes = np.frombuffer(column(one, "sizes")[0].as_py(), "<i8")
                 ids = column(one, "ids").flatten()
