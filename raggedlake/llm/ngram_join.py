@@ -10,7 +10,8 @@ Documents link when their sets of word n-grams reach the Jaccard limit. Three st
    it, all are paired with the smallest id. A worker does this among its own rows first and passes on only the
    smallest id of many: a signature that a third of all documents share is one entry from each worker's batch.
 2. The connected components of these pairs. Linked documents are in one component, so each document's set
-   travels to one place only. Documents of equal sets travel as one.
+   travels to one place only. Documents of equal sets travel as one. Passages that many texts share can chain
+   unrelated documents; large components are therefore first taken apart by sizes and bitmaps of all their pairs.
 3. In a component, the T-occurrence search: a document's n-grams are inverted lists; a partner must occur on at
    least T of them. The L longest lists are set aside; the others are merged, keeping what occurs T - L times or
    more; these candidates are looked up in the long lists by binary search. Documents already joined are not looked
@@ -45,6 +46,8 @@ from raggedlake.plans.session import materialize, prepare_workers, table
 BATCH = 1_000_000
 #: n-grams that one search task holds; documents that share one bucket of signatures, about.
 TASK_GRAMS, BUCKET_DOCS = 3_000_000, 2_000
+#: Documents whose bitmaps one task compares at a time.
+TASK_DOCS = 6_000
 #: So many documents with one signature are all paired; more are paired with the smallest id only.
 FEW = 8
 #: Bits of a document's bitmap; rows of the broadcast table that spares texts the shuffle.
@@ -326,6 +329,60 @@ def _possible(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _forest_of_possible(n: np.ndarray, bits: np.ndarray, side: np.ndarray | None, limit: Fraction) -> list[tuple[int, int]]:
+    """Places that sizes and bitmaps allow to link, as a forest; with side, between different sides only."""
+    p, q = limit.numerator, limit.denominator
+    order = np.argsort(n, kind="stable")
+    n, bits = n[order], bits[order]
+    side = None if side is None else side[order]
+    stop = np.searchsorted(n * p, n * q, "right")
+    root, members, links = np.arange(len(n)), {i: [i] for i in range(len(n))}, []
+    for r in range(len(n)):
+        near = np.arange(r + 1, stop[r])
+        near = near[root[near] != root[r]]
+        if side is not None:
+            near = near[side[near] != side[r]]
+        if not len(near):
+            continue
+        apart = np.bitwise_count(bits[near] ^ bits[r]).sum(1)
+        for x in near[apart <= (q - p) * (n[near] + n[r]) // (q + p)]:
+            a, b = root[r], root[x]
+            if a != b:
+                links.append((int(order[r]), int(order[x])))
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                moved = members.pop(b)
+                root[moved] = a
+                members[a] += moved
+    return links
+
+
+def _refined(nodes: DataFrame, docs: DataFrame, limit: Fraction) -> DataFrame:
+    """nodes with the labels of large components replaced by those of the pairs in them that can link at all.
+
+    Only ids, sizes and bitmaps travel, so blocks can be larger, and cost less to pair, than blocks of texts.
+    """
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g")).where(F.col("g") > TASK_GRAMS // 3)
+    m = F.ceil(F.col("c") / TASK_DOCS).cast("int")
+    large = nodes.join(sizes.select("label", m.alias("m")), "label")
+    rows = large.join(docs.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "bits")
+
+    def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("id")
+        ids = part["id"].to_numpy()
+        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), -1)
+        side = part["block"].to_numpy() if key[1] != key[2] else None
+        links = _forest_of_possible(part["n"].to_numpy().astype(np.int64), bits, side, limit)
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"], dtype="int64")
+
+    found = components(rows.groupBy("label", "i", "j").applyInPandas(find, "a long, b long"))
+    inner = nodes.join(sizes.select("label", F.lit(True).alias("big")), "label", "left").join(found.withColumnRenamed("label", "inner"), "id", "left")
+    # a document of a large component that can link with none is a component of its own
+    return inner.select("id", "key", "n", F.when(F.col("big"), F.coalesce("inner", "id")).otherwise(F.col("label")).alias("label"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -342,6 +399,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4
     # a node for each distinct set of a candidate component: the smallest id that has it
     nodes = sets.where("n > 0").join(maybe, "id").groupBy("label", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     nodes = materialize(nodes, "nodes")
+    whole, nodes = nodes, materialize(_refined(nodes, first.where("kind = 0"), limit), "nodes")
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("grams")).where("c > 1")
     total = sizes.agg(F.sum("grams")).first()[0] or 0
     links = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
@@ -372,7 +430,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4
 
         links = work.groupBy("t", "i", "j").applyInPandas(find, "a long, b long")
         # equal sets link too
-    same = sets.where("n > 0").join(maybe, "id").join(nodes.select("label", "key", F.col("id").alias("node")), ["label", "key"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    same = sets.where("n > 0").join(maybe, "id").join(whole.select("label", "key", F.col("id").alias("node")), ["label", "key"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     final = components(links.unionByName(same))
     out = sets.join(final, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
