@@ -33,7 +33,7 @@ from raggedlake.llm.quality_classifier import held_out
 from raggedlake.llm.text import CACHE_WORDS, column, slices, texts
 from raggedlake.plans.session import prepare_workers, table
 
-SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 5_000, 0.01
+SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 500, 0.01
 PREFIXES = range(4, 9)
 #: Share of the best marker's likelihood ratio that every marker has.
 WEAKEST = 0.15
@@ -49,26 +49,41 @@ def features(token: str) -> list[str]:
 
 
 class Kinds(dict):
-    """Word to kind; words with the same known features are of one kind, 0 being those without any."""
+    """Word to kind; words with the same known features are of one kind, 0 being those without any.
 
-    def __init__(self, known: dict[str, int]):
+    have lists each kind's features; feature 0 is every word's. add, if given, is called for a new kind.
+    """
+
+    def __init__(self, known: dict[str, int], add=None):
         super().__init__()
-        self.known, self.sets = known, {(): 0}
+        self.known, self.sets, self.have, self.add = known, {(): 0}, [[0]], add
 
     def __missing__(self, word: str) -> int:
-        have = tuple(sorted({self.known[f] for f in features(word) if f in self.known}))
-        kind = self.sets.setdefault(have, len(self.sets))
+        found = tuple(sorted({self.known[f] for f in features(word) if f in self.known}))
+        kind = self.sets.get(found)
+        if kind is None:
+            kind = self.sets[found] = len(self.have)
+            self.have.append([0, *found])
+            if self.add is not None:
+                self.add(self.have[-1])
         if len(self) < CACHE_WORDS:
             self[word] = kind
         return kind
 
-    def matrix(self) -> np.ndarray:
-        """Kinds by features; feature 0 is every word's."""
-        m = np.zeros((len(self.sets), len(self.known) + 1))
-        m[:, 0] = 1
-        for have, kind in self.sets.items():
-            m[kind, list(have)] = 1
-        return m
+
+class Incidence:
+    """Which kind has which feature, as two parallel arrays."""
+
+    def __init__(self, have: list[list[int]], size: int):
+        self.kinds, self.size = len(have), size
+        self.kind = np.repeat(np.arange(len(have)), [len(h) for h in have])
+        self.feature = np.array([f for h in have for f in h])
+
+    def of_kinds(self, w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.kind, w[self.feature, s], self.kinds) for s in range(2)], 1)
+
+    def of_features(self, g: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.feature, g[self.kind, s], self.size) for s in range(2)], 1)
 
 
 class Field:
@@ -76,7 +91,8 @@ class Field:
 
     def __init__(self, known: dict[str, int], weights: np.ndarray, start: np.ndarray, step: np.ndarray):
         self.known, self.weights, self.start, self.step = known, weights, np.exp(start), np.exp(step)
-        self.kinds, self.emit = Kinds(known), np.exp(weights[:1])
+        self.emit = [np.exp(weights[0])]
+        self.kinds = Kinds(known, lambda have: self.emit.append(np.exp(self.weights[have].sum(0))))
         plain = self.step * self.emit[0]  # into a word without known features
         self.gaps = [np.eye(2)]
         for _ in range(FAR):
@@ -117,8 +133,6 @@ class Field:
         found = low.split()
         kinds = list(map(self.kinds.__getitem__, found))
         n = len(kinds)
-        if len(self.emit) < len(self.kinds.sets):
-            self.emit = np.exp(self.kinds.matrix() @ self.weights)
         at = [i for i, w in enumerate(kinds) if w]
         if not at:
             return BASE, []
@@ -171,21 +185,21 @@ def markers(toxic: list[list[str]], clean: list[list[str]], share_of_best: float
     return {w for w, g in ratio.items() if g >= share_of_best * most}
 
 
-def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, matrix: np.ndarray, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> list[np.ndarray]:
+def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, parts: Incidence, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> list[np.ndarray]:
     """Weights (features, start, step) that maximise the likelihood of labels over padded runs of kinds."""
     n, width = runs.shape
-    w = [np.zeros((matrix.shape[1], 2)), np.zeros(2), np.zeros((2, 2))]
+    w = [np.zeros((parts.size, 2)), np.zeros(2), np.zeros((2, 2))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     live = np.arange(width)[None] < lengths[:, None]
     rows = np.arange(n)
-    seen = [np.zeros((len(matrix), 2)), np.zeros(2), np.zeros((2, 2))]
+    seen = [np.zeros((parts.kinds, 2)), np.zeros(2), np.zeros((2, 2))]
     np.add.at(seen[0], (runs[live], labels[live]), 1)
-    seen[0] = matrix.T @ seen[0]
+    seen[0] = parts.of_features(seen[0])
     np.add.at(seen[1], labels[:, 0], 1)
     pair = live[:, 1:]
     np.add.at(seen[2], (labels[:, :-1][pair], labels[:, 1:][pair]), 1)
     for t in range(1, steps + 1):
-        emit, start, step = np.exp(matrix @ w[0])[runs], np.exp(w[1]), np.exp(w[2])
+        emit, start, step = np.exp(parts.of_kinds(w[0]))[runs], np.exp(w[1]), np.exp(w[2])
         fore, back = np.empty((width, n, 2)), np.ones((width, n, 2))
         a = start * emit[:, 0]
         for i in range(width):
@@ -193,7 +207,7 @@ def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, matrix: np.
                 a = np.where(live[:, i, None], (a @ step) * emit[:, i], a)
             a = a / a.sum(1, keepdims=True)
             fore[i] = a
-        want = [np.zeros((len(matrix), 2)), np.zeros(2), np.zeros((2, 2))]
+        want = [np.zeros((parts.kinds, 2)), np.zeros(2), np.zeros((2, 2))]
         for i in range(width - 1, 0, -1):
             x = emit[:, i] * back[i]
             b = x @ step.T
@@ -205,8 +219,8 @@ def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, matrix: np.
         marg /= marg.sum(2, keepdims=True)
         marg = marg.transpose(1, 0, 2)
         for s in range(2):
-            want[0][:, s] = np.bincount(runs[live], marg[..., s][live], len(matrix))
-        want[0] = matrix.T @ want[0]
+            want[0][:, s] = np.bincount(runs[live], marg[..., s][live], parts.kinds)
+        want[0] = parts.of_features(want[0])
         want[1] = marg[rows, 0].sum(0)
         for i, x in enumerate(w):
             g = (want[i] - seen[i]) / n + penalty * x
@@ -239,7 +253,7 @@ def fit(docs: list[tuple[str, int]], seed: int = SEED) -> Field | None:
                 marks.append(hit if y else [0] * len(run))
     lengths = np.array([len(r) for r in runs])
     pad = lambda z: np.array([r + [0] * (RUN - len(r)) for r in z])
-    return Field(known, *train(pad(runs), pad(marks), lengths, kinds.matrix()))
+    return Field(known, *train(pad(runs), pad(marks), lengths, Incidence(kinds.have, len(known) + 1)))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
