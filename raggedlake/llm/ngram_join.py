@@ -363,6 +363,8 @@ def _refined(nodes: DataFrame, docs: DataFrame, limit: Fraction) -> DataFrame:
     Only ids, sizes and bitmaps travel, so blocks can be larger, and cost less to pair, than blocks of texts.
     """
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g")).where(F.col("g") > TASK_GRAMS // 3)
+    if sizes.isEmpty():
+        return nodes
     m = F.ceil(F.col("c") / TASK_DOCS).cast("int")
     large = nodes.join(sizes.select("label", m.alias("m")), "label")
     rows = large.join(docs.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
