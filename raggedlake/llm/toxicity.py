@@ -35,8 +35,6 @@ from raggedlake.plans.session import prepare_workers, table
 
 SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 500, 0.01
 PREFIXES = range(4, 9)
-#: Share of the best marker's likelihood ratio that every marker has.
-WEAKEST = 0.15
 #: A gap matrix is computed up to this many words; by then it no longer changes but for its scale.
 FAR = 256
 WORD, TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
@@ -151,13 +149,13 @@ class Field:
         return max(BASE, float(p.max())), spans
 
 
-def markers(toxic: list[list[str]], clean: list[list[str]], share_of_best: float = WEAKEST) -> set[str]:
+def markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     """Features whose link to toxic texts can't be chance, given how many words are tried.
 
     A feature's support is the number of different neighbourhoods (the words before and after) it has, a text
     counting once; so the words that near copies of one text share have a support of about one. A marker is ten
-    times as frequent in toxic texts and its likelihood ratio G2 exceeds 10 + 2 ln(words tried), and share_of_best
-    of the largest: weaker links come from long texts and wrong labels.
+    times as frequent in toxic texts and its likelihood ratio G2 exceeds 10 + 2 ln(words tried). Markers are not
+    measured against each other: those of a rare language have a small G2 however many texts there are.
     """
     support = []
     for part in (toxic, clean):
@@ -173,16 +171,15 @@ def markers(toxic: list[list[str]], clean: list[list[str]], share_of_best: float
         support.append({w: len(c) for w, c in around.items()})
     t, c = support
     nt, nc = len(toxic), len(clean)
-    least, ratio = 10 + 2 * np.log(len(t.keys() | c.keys()) + 1), {}
+    least, found = 10 + 2 * np.log(len(t.keys() | c.keys()) + 1), set()
     for w, n in t.items():
         m = c.get(w, 0)
         if n >= 3 and n / nt > 10 * (m + 0.5) / (nc + 1):
             share = (n + m) / (nt + nc)
             g = 2 * (n * np.log(n / (nt * share)) + (m * np.log(m / (nc * share)) if m else 0))
             if g > least:
-                ratio[w] = g
-    most = max(ratio.values(), default=0)
-    return {w for w, g in ratio.items() if g >= share_of_best * most}
+                found.add(w)
+    return found
 
 
 def train(runs: np.ndarray, labels: np.ndarray, lengths: np.ndarray, parts: Incidence, steps: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> list[np.ndarray]:

@@ -163,6 +163,16 @@ def test_toxicity(spark):
     assert toxicity.toxic_scores(empty(spark), labels).count() == 0
 
 
+def test_toxicity_markers_of_a_rare_language():
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghij"))
+    plain = lambda start: [start + "".join(rng.choice(letters, 3)) for _ in range(12)]
+    bad = lambda start, word: [*(x := plain(start))[:6], word, *x[6:]]
+    toxic = [bad("en", "idiot") for _ in range(400)] + [bad("es", "boco") for _ in range(25)]
+    clean = [plain("en") for _ in range(400)] + [plain("es") for _ in range(25)]
+    assert {w for w in toxicity.markers(toxic, clean) if not w.startswith("^")} == {"idiot", "boco"}
+
+
 def test_forward_backward_equals_brute_force():
     from itertools import product
 
