@@ -5,7 +5,8 @@ lower-cased runs of ASCII letters and digits. The document frequency of the temp
 vocabulary) is counted over all texts; a term outside the vocabulary has the weight of a term in no text. A line
 is scored only if it has one of the vocabulary's rare terms (in less than ANCHOR_SHARE of the texts): any other
 line's cosine is far below the limit, as rare terms make up most of a template's length. The best template at
-MATCH or more is the text's own licence; ties go to the template's name.
+MATCH or more is the text's own licence; ties go to the template's name. An SPDX line counts as a match of 1 with
+the licence it names, and WEAK is taken only if no other licence is found.
 
 A file without a licence of its own takes that of the nearest directory above it that has a licence file; of
 several in one directory, the best score counts, then the name. Paths are split into their ancestor directories
@@ -25,23 +26,28 @@ from pyspark.sql import functions as F
 
 from raggedlake.plans.session import materialize, table
 
-#: Notices as they stand in headers and licence files (fixed values).
+#: Notices as they stand in headers and licence files (fixed values), several a licence. A short form with a version isn't
+#: there: the same words with another version would be as near to it. SPDX lines name those exactly.
 TEMPLATES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Released under CC0 1.0 Universal, dedicated to the public domain.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and distribute this software for any purpose is hereby granted. ISC License.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "Copyright. All rights reserved. Unauthorized copying is prohibited.",
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.",),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License.",),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "CC0-1.0": ("Released under CC0 1.0 Universal, dedicated to the public domain.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
+    "ISC": ("Permission to use, copy, modify, and distribute this software for any purpose is hereby granted. ISC License.", "ISC License."),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
+    "MIT": ("Released under the MIT License.", "MIT License.", "The MIT License (MIT)."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Proprietary": ("Copyright. All rights reserved. Unauthorized copying is prohibited.", "All rights reserved."),
 }
+#: Its short form also stands beside other licences ("Copyright ... All rights reserved." above a BSD notice): any other
+#: licence found in the text goes before it.
+WEAK = "Proprietary"
+SPDX = r"(?i)SPDX-License-Identifier:[\s(]*([a-z0-9.+\-]+)"
 TERM = r"[a-z0-9]+"
 MATCH, ANCHOR_SHARE = 0.8, 0.2
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_].*)?$"
@@ -51,8 +57,12 @@ def terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
+def _notices() -> list[tuple[str, str]]:
+    return [(name, x) for name, forms in TEMPLATES.items() for x in forms]
+
+
 def _vocabulary() -> list[str]:
-    return sorted({t for x in TEMPLATES.values() for t in terms(x)})
+    return sorted({t for _, x in _notices() for t in terms(x)})
 
 
 def _terms(text: Column) -> Column:
@@ -88,7 +98,7 @@ def cosines(words: Column, weights: dict[str, float], other: float) -> Column:
 
     def scores(vec: Column) -> Column:
         out = []
-        for name, text in TEMPLATES.items():
+        for name, text in _notices():
             bag = terms(text)
             tv = {t: bag.count(t) * weights[t] for t in dict.fromkeys(bag)}
             size = math.sqrt(sum(x * x for x in tv.values()))
@@ -101,6 +111,13 @@ def cosines(words: Column, weights: dict[str, float], other: float) -> Column:
     return _let(vector, scores)
 
 
+def spdx(text: Column) -> Column:
+    """array<struct<score, license>> of the identifiers named in SPDX lines: exact, not by cosine."""
+    ids = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), r"(-only|-or-later|\+)$", ""))
+    names = F.array(*[F.struct(F.lit(1.0).alias("score"), F.lit(n).alias("license")) for n in TEMPLATES if n != WEAK])
+    return F.filter(names, lambda x: F.array_contains(ids, F.lower(x["license"])))
+
+
 def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, match: float = MATCH) -> DataFrame:
     """(id columns as given, text dropped) with own_license and own_score; whole: whether a row's whole text is a unit too."""
     weights, other = idf(files, text_col)
@@ -109,15 +126,17 @@ def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, ma
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), anchors))
     units = F.when(whole, F.concat(lines, F.array(F.col(text_col)))).otherwise(lines)
     keep = [c for c in files.columns if c != text_col]
-    rows = files.select(*keep, F.coalesce(F.array_distinct(units), F.array()).alias("_u"))
+    rows = files.select(*keep, F.coalesce(F.array_distinct(units), F.array()).alias("_u"), F.coalesce(spdx(F.col(text_col)), F.array()).alias("_x"))
 
     def better(a: Column, x: Column) -> Column:
         s = F.round(x["score"], 9)
+        s = s + F.when((s >= match) & (x["license"] != WEAK), 1.0).otherwise(0.0)
         return F.when((s > a["s"]) | ((s == a["s"]) & (x["license"] < a["l"])), F.struct(s.alias("s"), x["license"].alias("l"))).otherwise(a)
 
     none = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("l"))
-    best = F.reduce(F.flatten(F.transform("_u", lambda u: _let(_terms(u), lambda w: cosines(w, weights, other)))), none, better)
-    scored = rows.withColumn("_b", best)
+    found = F.flatten(F.transform("_u", lambda u: _let(_terms(u), lambda w: cosines(w, weights, other))))
+    best = F.reduce(F.concat(found, F.col("_x")), none, better)
+    scored = rows.withColumn("_b", best).withColumn("_b", F.struct((F.col("_b.s") - F.when(F.col("_b.s") > 1.000001, 1.0).otherwise(0.0)).alias("s"), F.col("_b.l").alias("l")))
     return scored.select(*keep, F.when(F.col("_b.s") >= match, F.col("_b.l")).alias("own_license"), F.when(F.col("_b.s") >= match, F.round("_b.s", 6)).alias("own_score"))
 
 

@@ -211,3 +211,18 @@ def test_license_scan(spark):
     assert by[4] == ("Apache-2.0", "inherited", "a/x/y") and by[5] == ("GPL-3.0", "own", None)
     assert by[6] == by[7] == by[8] == (None, None, None) and by[100] == (None, None, None)
     assert license_scan.license_scan(df.limit(0), "id", "path").count() == 0
+
+
+def scan(spark, texts, paths=None):
+    rows = [(i, p, t) for i, (p, t) in enumerate(zip(paths or [f"d{i}/x.txt" for i in range(len(texts))], texts))]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path").collect()
+    return {r["id"]: r for r in got}
+
+
+def test_license_scan_short_forms(spark):
+    plain = [f"some plain words number {i}" for i in range(40)]
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License."
+    texts = ["a\nAll rights reserved.\nb", f"All rights reserved.\n{bsd}", "# SPDX-License-Identifier: GPL-2.0-or-later\nx", "// SPDX-License-Identifier: (MIT OR Zlib)", "SPDX-License-Identifier: Zlib", "MIT License\n\nx", *plain]
+    got = scan(spark, texts)
+    assert [got[i]["own_license"] for i in range(7)] == ["Proprietary", "BSD-3-Clause", "GPL-2.0", "MIT", None, "MIT", None]
+    assert got[0]["own_score"] == got[1]["own_score"] == got[2]["own_score"] == 1.0
