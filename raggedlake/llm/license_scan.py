@@ -3,8 +3,8 @@
 Every line of a text, and for licence files the whole text, is compared with licence templates. Terms are
 lower-cased runs of ASCII letters and digits. The document frequency of the templates' terms (a fixed
 vocabulary) is counted over all texts; a term outside the vocabulary has the weight of a term in no text. A line
-is scored only if it has one of the vocabulary's rare terms (in less than ANCHOR_SHARE of the texts): any other
-line's cosine is far below the limit, as rare terms make up most of a template's length. The best template at
+is scored only if it has an anchor: the terms of a template without its anchors are too light, under the actual
+weights, for a cosine of MATCH with it, so nothing is lost. The best template at
 MATCH or more is the text's own licence; ties go to the template's name. An SPDX line counts as a match of 1 with
 the licence it names, and WEAK is taken only if no other licence is found.
 
@@ -49,7 +49,7 @@ TEMPLATES = {
 WEAK = "Proprietary"
 SPDX = r"(?i)SPDX-License-Identifier:[\s(]*([a-z0-9.+\-]+)"
 TERM = r"[a-z0-9]+"
-MATCH, ANCHOR_SHARE = 0.8, 0.2
+MATCH = 0.8
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_].*)?$"
 
 
@@ -92,23 +92,42 @@ def cosines(words: Column, weights: dict[str, float], other: float) -> Column:
     at = {t: i for i, t in enumerate(vocab)}
     known = F.array(*map(F.lit, vocab))
     weight = F.array(*[F.lit(weights[t]) for t in vocab])
-    vector = F.zip_with(F.transform(known, lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double")), weight, lambda a, b: a * b)
+    counted = F.zip_with(F.transform(known, lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double")), weight, lambda a, b: a * b)
     strange = F.filter(words, lambda w: ~F.array_contains(known, w))
     rest = _let(strange, lambda s: total(F.transform(F.array_distinct(s), lambda t: F.pow(F.size(F.filter(s, lambda w: w == t)) * F.lit(other), F.lit(2.0)))))
 
     def scores(vec: Column) -> Column:
         out = []
         for name, text in _notices():
-            bag = terms(text)
-            tv = {t: bag.count(t) * weights[t] for t in dict.fromkeys(bag)}
-            size = math.sqrt(sum(x * x for x in tv.values()))
             dot = F.lit(0.0)
-            for t, x in tv.items():
-                dot = dot + F.get(vec, F.lit(at[t])) * F.lit(x / size)
+            for t, x in vector(text, weights).items():
+                dot = dot + F.get(vec, F.lit(at[t])) * F.lit(x)
             out.append(F.struct(dot.alias("score"), F.lit(name).alias("license")))
         return _let(F.sqrt(total(F.transform(vec, lambda x: x * x)) + rest), lambda norm: F.transform(F.array(*out), lambda x: F.struct(F.when(norm > 0, x["score"] / norm).otherwise(F.lit(0.0)).alias("score"), x["license"].alias("license"))))
 
-    return _let(vector, scores)
+    return _let(counted, scores)
+
+
+def vector(text: str, weights: dict[str, float]) -> dict[str, float]:
+    """A notice's terms with their weights, of length 1."""
+    bag = terms(text)
+    out = {t: bag.count(t) * weights[t] for t in dict.fromkeys(bag)}
+    size = math.sqrt(sum(x * x for x in out.values()))
+    return {t: x / size for t, x in out.items()}
+
+
+def anchors(unit: dict[str, float], weights: dict[str, float], match: float = MATCH) -> list[str]:
+    """The fewest of a notice's terms, rarest first, one of which is in every bag of terms with a cosine of match or more.
+
+    With the terms S in common, the cosine is at most the length of the notice's vector within S.
+    """
+    found, rest = [], 1.0
+    for t in sorted(unit, key=lambda t: (-weights[t], t)):
+        if rest < match * match - 1e-6:
+            break
+        found.append(t)
+        rest -= unit[t] ** 2
+    return found
 
 
 def spdx(text: Column) -> Column:
@@ -121,9 +140,8 @@ def spdx(text: Column) -> Column:
 def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, match: float = MATCH) -> DataFrame:
     """(id columns as given, text dropped) with own_license and own_score; whole: whether a row's whole text is a unit too."""
     weights, other = idf(files, text_col)
-    rare = [t for t, w in weights.items() if w > math.log(1 / ANCHOR_SHARE) + 1] or list(weights)
-    anchors = F.array(*map(F.lit, rare))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), anchors))
+    held = F.array(*map(F.lit, sorted({t for _, x in _notices() for t in anchors(vector(x, weights), weights, match)})))
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), held))
     units = F.when(whole, F.concat(lines, F.array(F.col(text_col)))).otherwise(lines)
     keep = [c for c in files.columns if c != text_col]
     rows = files.select(*keep, F.coalesce(F.array_distinct(units), F.array()).alias("_u"), F.coalesce(spdx(F.col(text_col)), F.array()).alias("_x"))

@@ -226,3 +226,9 @@ def test_license_scan_short_forms(spark):
     got = scan(spark, texts)
     assert [got[i]["own_license"] for i in range(7)] == ["Proprietary", "BSD-3-Clause", "GPL-2.0", "MIT", None, "MIT", None]
     assert got[0]["own_score"] == got[1]["own_score"] == got[2]["own_score"] == 1.0
+
+
+def test_license_scan_of_a_common_notice(spark):
+    texts = ["head\nReleased under the MIT License.\nbody", "plain words"] * 20
+    got = scan(spark, texts)
+    assert [got[i]["own_license"] for i in range(40)] == ["MIT", None] * 20
