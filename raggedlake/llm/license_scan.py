@@ -1,9 +1,10 @@
 """Licence scans with DataFrame functions alone: TF-IDF cosine to templates, then inheritance down the paths.
 
-Every line of a text, and for licence files the whole text, is compared with licence templates. Terms are
+Every line of a text, every run of adjacent terms as long as a template (across line breaks, so wrapped notices and
+notices with further text on their line are met), and for licence files the whole text, is compared with licence templates. Terms are
 lower-cased runs of ASCII letters and digits. The document frequency of the templates' terms (a fixed
 vocabulary) is counted over all texts; a term outside the vocabulary has the weight of a term in no text. A line
-is scored only if it has an anchor: the terms of a template without its anchors are too light, under the actual
+or run is scored only if it has an anchor: the terms of a template without its anchors are too light, under the actual
 weights, for a cosine of MATCH with it, so nothing is lost. The best template at
 MATCH or more is the text's own licence; ties go to the template's name. An SPDX line counts as a match of 1 with
 the licence it names, and WEAK is taken only if no other licence is found.
@@ -130,6 +131,43 @@ def anchors(unit: dict[str, float], weights: dict[str, float], match: float = MA
     return found
 
 
+def windows(words: Column, weights: dict[str, float], other: float, match: float = MATCH) -> Column:
+    """array<struct<score, license>> of each template's cosines with the runs of as many terms around its anchors."""
+    notices = []
+    for name, text in _notices():
+        unit = vector(text, weights)
+        parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(weights[t]).alias("w"), F.lit(x).alias("u")) for t, x in unit.items()])
+        held = F.array(*map(F.lit, anchors(unit, weights, match)))
+        notices.append(F.struct(F.lit(name).alias("license"), F.lit(len(terms(text))).alias("n"), parts.alias("parts"), held.alias("held")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    weigh = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    square = lambda x: x * x
+
+    def score(run: Column, notice: Column) -> Column:
+        norm = total(F.transform(F.array_distinct(run), lambda t: square(F.size(F.filter(run, lambda w: w == t)) * F.coalesce(F.element_at(weigh, t), F.lit(other)))))
+        common = F.transform(notice["parts"], lambda p: F.size(F.filter(run, lambda w: w == p["t"])) * p["w"])
+
+        def compared(c: Column) -> Column:
+            dot = total(F.zip_with(c, notice["parts"], lambda x, p: x * p["u"]))
+            # the terms in common alone bound the cosine
+            return F.when(dot >= (match - 1e-6) * F.sqrt(total(F.transform(c, square))), dot / F.sqrt(norm)).otherwise(0.0)
+
+        return _let(common, compared)
+
+    def around(w: Column, i: Column, notice: Column) -> Column:
+        first = F.greatest(F.lit(0), i - notice["n"] + 1)
+        last = F.greatest(first, F.least(i, F.size(w) - notice["n"]))
+        return F.transform(F.sequence(first, last), lambda k: F.slice(w, k + 1, notice["n"]))
+
+    def one(w: Column, notice: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(notice["held"], F.get(w, i)))
+        runs = F.array_distinct(F.flatten(F.transform(at, lambda i: around(w, i, notice))))
+        return F.struct(F.coalesce(F.array_max(F.transform(runs, lambda r: score(r, notice))), F.lit(0.0)).alias("score"), notice["license"].alias("license"))
+
+    near = lambda w: F.filter(F.array(*notices), lambda notice: F.arrays_overlap(w, notice["held"]))
+    return F.transform(near(words), lambda notice: one(words, notice))
+
+
 def spdx(text: Column) -> Column:
     """array<struct<score, license>> of the identifiers named in SPDX lines: exact, not by cosine."""
     ids = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), r"(-only|-or-later|\+)$", ""))
@@ -144,7 +182,7 @@ def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, ma
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), held))
     units = F.when(whole, F.concat(lines, F.array(F.col(text_col)))).otherwise(lines)
     keep = [c for c in files.columns if c != text_col]
-    rows = files.select(*keep, F.coalesce(F.array_distinct(units), F.array()).alias("_u"), F.coalesce(spdx(F.col(text_col)), F.array()).alias("_x"))
+    rows = files.select(*keep, F.coalesce(F.array_distinct(units), F.array()).alias("_u"), F.coalesce(spdx(F.col(text_col)), F.array()).alias("_x"), F.coalesce(_terms(F.col(text_col)), F.array()).alias("_w"))
 
     def better(a: Column, x: Column) -> Column:
         s = F.round(x["score"], 9)
@@ -153,7 +191,8 @@ def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, ma
 
     none = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("l"))
     found = F.flatten(F.transform("_u", lambda u: _let(_terms(u), lambda w: cosines(w, weights, other))))
-    best = F.reduce(F.concat(found, F.col("_x")), none, better)
+    runs = F.when(F.arrays_overlap("_w", held), windows(F.col("_w"), weights, other, match)).otherwise(F.array())
+    best = F.reduce(F.concat(found, F.col("_x"), runs), none, better)
     scored = rows.withColumn("_b", best).withColumn("_b", F.struct((F.col("_b.s") - F.when(F.col("_b.s") > 1.000001, 1.0).otherwise(0.0)).alias("s"), F.col("_b.l").alias("l")))
     return scored.select(*keep, F.when(F.col("_b.s") >= match, F.col("_b.l")).alias("own_license"), F.when(F.col("_b.s") >= match, F.round("_b.s", 6)).alias("own_score"))
 

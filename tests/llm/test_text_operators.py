@@ -232,3 +232,11 @@ def test_license_scan_of_a_common_notice(spark):
     texts = ["head\nReleased under the MIT License.\nbody", "plain words"] * 20
     got = scan(spark, texts)
     assert [got[i]["own_license"] for i in range(40)] == ["MIT", None] * 20
+
+
+def test_license_scan_wrapped_and_joined_notices(spark):
+    plain = [f"some plain words number {i}" for i in range(60)]
+    wrapped = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted. BSD 3-Clause License.\ncode"
+    joined = "code of the parser and the printer // Released under the MIT License. Written by nobody for the sake of a test of long lines"
+    got = scan(spark, [wrapped, joined, "Released under\nthe MIT\nLicense.", "we are released under no terms", *plain])
+    assert [(got[i]["own_license"], got[i]["own_score"]) for i in range(5)] == [("BSD-3-Clause", 1.0), ("MIT", 1.0), ("MIT", 1.0), (None, None), (None, None)]
