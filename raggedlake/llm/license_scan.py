@@ -10,7 +10,7 @@ MATCH or more is the text's own licence; ties go to the template's name. An SPDX
 the licence it names, and WEAK is taken only if no other licence is found.
 
 A file without a licence of its own takes that of the nearest directory above it that has a licence file; of
-several in one directory, the best score counts, then the name. Paths are split into their ancestor directories
+several in one directory, the best score counts, then the name. The root of relative and of absolute paths is "". Paths are split into their ancestor directories
 (as many as the path is deep) and joined by equality, per directory and not per file.
 
 Defined results: a null or empty text has no own licence; a null path inherits nothing; repeated rows are
@@ -172,7 +172,8 @@ def spdx(text: Column) -> Column:
     """array<struct<score, license>> of the identifiers named in SPDX lines: exact, not by cosine."""
     ids = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), r"(-only|-or-later|\+)$", ""))
     names = F.array(*[F.struct(F.lit(1.0).alias("score"), F.lit(n).alias("license")) for n in TEMPLATES if n != WEAK])
-    return F.filter(names, lambda x: F.array_contains(ids, F.lower(x["license"])))
+    named = _let(ids, lambda found: F.filter(names, lambda x: F.array_contains(found, F.lower(x["license"]))))
+    return F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier:")), named).otherwise(F.array())
 
 
 def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, match: float = MATCH) -> DataFrame:
@@ -191,22 +192,22 @@ def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, ma
 
     none = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("l"))
     found = F.flatten(F.transform("_u", lambda u: _let(_terms(u), lambda w: cosines(w, weights, other))))
-    runs = F.when(F.arrays_overlap("_w", held), windows(F.col("_w"), weights, other, match)).otherwise(F.array())
+    runs = F.when(F.arrays_overlap("_w", held), _let(F.col("_w"), lambda w: windows(w, weights, other, match))).otherwise(F.array())
     best = F.reduce(F.concat(found, F.col("_x"), runs), none, better)
     scored = rows.withColumn("_b", best).withColumn("_b", F.struct((F.col("_b.s") - F.when(F.col("_b.s") > 1.000001, 1.0).otherwise(0.0)).alias("s"), F.col("_b.l").alias("l")))
     return scored.select(*keep, F.when(F.col("_b.s") >= match, F.col("_b.l")).alias("own_license"), F.when(F.col("_b.s") >= match, F.round("_b.s", 6)).alias("own_score"))
 
 
 def ancestors(path: Column) -> Column:
-    """The directories above a path, nearest last; a directory counts as above its own files."""
+    """The directories above a path, the root ("") first, nearest last; a directory counts as above its own files."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
 
 
 def inherit(found: DataFrame, path_col: str = "path", is_license_file: Column | None = None) -> DataFrame:
     """Adds license, license_from ('own', 'inherited' or null) and license_dir to rows with own_license and a path."""
     marks = F.regexp_extract(F.col(path_col), r"([^/]*)$", 1).rlike(LICENSE_FILE) if is_license_file is None else is_license_file
-    parent = F.when(F.contains(F.col(path_col), F.lit("/")), F.regexp_replace(F.col(path_col), r"/[^/]*$", ""))
+    parent = F.regexp_replace(F.col(path_col), r"/?[^/]*$", "")
     rows = found.withColumns({"_dir": parent, "_is": F.coalesce(marks, F.lit(False))})
     best = F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("l")))
     holders = rows.where(F.col("_is") & F.col("own_license").isNotNull() & F.col("_dir").isNotNull()).groupBy(F.col("_dir").alias("_at")).agg(best.alias("_best")).select("_at", F.col("_best.l").alias("_l"))
@@ -229,11 +230,12 @@ def license_scan(files: DataFrame, id_col: str, path_col: str, text_col: str = "
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents have no paths: they are laid out as source/language/thousand/hundred/id, and in each hundred and
-    thousand the id divisible by it stands for the directory's licence file."""
+    """documents have no paths: they are laid out as source/language/thousand/hundred/id. Ids divisible by ten are
+    licence files of their thousand, ids with a five at the end those of their hundred; id 0 is one at the root."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     level = F.floor(i / 100).cast("string")
     deep = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(i / 1000).cast("string"))
-    path = F.when(i % 1000 == 0, F.concat(deep, F.lit("/LICENSE"))).when(i % 100 == 0, F.concat(deep, F.lit("/"), level, F.lit("/LICENSE"))).otherwise(F.concat(deep, F.lit("/"), level, F.lit("/"), i.cast("string")))
+    name = F.concat(F.lit("/LICENSE."), i.cast("string"))
+    path = F.when(i == 0, "LICENSE").when(i % 10 == 0, F.concat(deep, name)).when(i % 10 == 5, F.concat(deep, F.lit("/"), level, name)).otherwise(F.concat(deep, F.lit("/"), level, F.lit("/"), i.cast("string")))
     return license_scan(d.select("doc_id", "text", path.alias("path")), "doc_id", "path")

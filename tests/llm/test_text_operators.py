@@ -240,3 +240,11 @@ def test_license_scan_wrapped_and_joined_notices(spark):
     joined = "code of the parser and the printer // Released under the MIT License. Written by nobody for the sake of a test of long lines"
     got = scan(spark, [wrapped, joined, "Released under\nthe MIT\nLicense.", "we are released under no terms", *plain])
     assert [(got[i]["own_license"], got[i]["own_score"]) for i in range(5)] == [("BSD-3-Clause", 1.0), ("MIT", 1.0), ("MIT", 1.0), (None, None), (None, None)]
+
+
+def test_license_scan_inherits_from_the_root(spark):
+    mit = "Released under the MIT License."
+    got = scan(spark, [mit, "x", "x", "Licensed under the Apache License, Version 2.0.", "x", "x"], ["LICENSE", "src/a.py", "b.py", "src/deep/LICENSE", "src/deep/er/c.py", None])
+    assert [(got[i]["license"], got[i]["license_dir"]) for i in range(6)] == [("MIT", None), ("MIT", ""), ("MIT", ""), ("Apache-2.0", None), ("Apache-2.0", "src/deep"), (None, None)]
+    for own in (["/LICENSE", "/src/a.py"], ["LICENSE", "a.py"]):
+        assert [r["license"] for r in scan(spark, [mit, "x"], own).values()] == ["MIT", "MIT"]
