@@ -13,7 +13,6 @@ columns other than the id and the text are ignored, whatever their names.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +28,7 @@ from raggedlake.plans.session import prepare_workers, table
 
 #: Pairs of tokens whose stability is remembered; the memory is emptied beyond that.
 PAIR_LIMIT = 1_000_000
+SPACES = regex.compile(r"\s+")
 
 
 def _byte_chars() -> dict[str, int]:
@@ -161,40 +161,46 @@ class PrefixCounter:
                 out[k] += int(sums[stop] - sums[stop - size])
         return out
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends (in characters) of a text's pieces, and the token count of the text up to each end.
-
-        The stored counts are those of the pieces; count_at() answers for any prefix from them.
-        """
-        ends, counts, pos, total = [0], [0], 0, 0
+    def prefix_table(self, text: str) -> np.ndarray:
+        """The token count of every prefix text[:0], text[:1], ... as the library counts it, special strings included."""
+        counts, start = np.zeros(len(text) + 1, np.int64), 0
+        for m in self.whole.finditer(text) if self.whole is not None else ():
+            # a prefix that ends inside a special string holds its beginning as plain text
+            counts[start : m.end()] = counts[start] + self.plain_table(text[start : m.end() - 1])
+            counts[m.end()] = counts[m.start()] + 1
+            start = m.end()
+        counts[start:] = counts[start] + self.plain_table(text[start:])
+        return counts
+
+    def plain_table(self, text: str) -> np.ndarray:
+        """prefix_table() of a text without special strings: the counts inside each piece, added up."""
+        counts, pos, total, before = np.zeros(len(text) + 1, np.int64), 0, 0, {0: 0}
         for p in self.pattern.findall(text):
-            pos, total = pos + len(p), total + self.piece_counts(p.encode())[-1]
-            ends.append(pos)
-            counts.append(total)
-        return ends, counts
-
-    def count_at(self, text: str, stop: int, stored: tuple[list[int], list[int]]) -> int:
-        """Exact count of text[:stop], from the stored table and the one piece that the cut touches."""
-        ends, counts = stored
-        stop = max(0, min(stop, len(text)))
-        if stop and text[stop - 1].isspace():  # a final white-space run is one piece
-            start = stop
-            while start and text[start - 1].isspace():
-                start -= 1
-        else:
-            start = ends[bisect_right(ends, stop) - 1]
-        k = bisect_right(ends, start) - 1
-        if ends[k] != start:  # the run began inside a piece
-            return counts[k] + self.piece_total(text[ends[k] : stop])
-        return counts[k] + self.piece_total(text[start:stop])
-
-    def truncate(self, text: str, budget: int, stored: tuple[list[int], list[int]]) -> int:
-        """The longest prefix, ending at a piece, that takes at most budget tokens: its length."""
-        ends, counts = stored
-        k = bisect_right(counts, budget) - 1
-        while k > 0 and self.count_at(text, ends[k], stored) > budget:
-            k -= 1
-        return ends[k]
+            got = self.char_counts(p)
+            if p[0] == "'":  # a contraction that is cut short is no contraction
+                got = [self.piece_total(p[:k]) for k in range(len(p))] + got[-1:] if len(p) <= 3 else got
+            counts[pos : pos + len(p) + 1] = [total + n for n in got]
+            pos, total = pos + len(p), total + got[-1]
+            before[pos] = total
+        for m in SPACES.finditer(text):  # a final white-space run is one piece
+            counts[m.start() : m.end() + 1] = [before[m.start()] + n for n in self.char_counts(m[0])]
+        return counts
+
+    def char_counts(self, piece: str) -> list[int]:
+        """Counts at the prefixes of one piece that end at a character."""
+        got, at, out = self.piece_counts(piece.encode()), 0, [0]
+        for c in piece:
+            at += len(c.encode())
+            out.append(got[at])
+        return out
+
+    def count_at(self, text: str, stop: int, stored: np.ndarray) -> int:
+        """Exact count of text[:stop], from the stored table alone."""
+        return int(stored[max(0, min(stop, len(text)))])
+
+    def truncate(self, text: str, budget: int, stored: np.ndarray) -> int:
+        """The length of the longest prefix that takes at most budget tokens (a longer prefix may take fewer tokens)."""
+        return int(np.flatnonzero(stored <= max(budget, 0))[-1])
 
 
 @lru_cache(maxsize=2)
@@ -230,7 +236,7 @@ def budget_cuts(docs: DataFrame, path: str, pattern: str, budget: int, id_col: s
             for text in texts(b):
                 stored = c.prefix_table(text)
                 cut = c.truncate(text, budget, stored)
-                rows.append((stored[1][-1], cut, c.count_at(text, cut, stored)))
+                rows.append((int(stored[-1]), cut, c.count_at(text, cut, stored)))
             cols = [pa.array(x, pa.int64()) for x in zip(*rows)]
             yield pa.RecordBatch.from_arrays([column(b, "id"), *cols], ["id", "n_tokens", "cut_chars", "cut_tokens"])
 

@@ -48,6 +48,23 @@ def test_token_counts(spark):
     assert (cuts[0]["cut_chars"], cuts[0]["cut_tokens"], cuts[0]["n_tokens"]) == (13, 3, 5) and cuts[1]["cut_chars"] == 0
 
 
+def test_token_prefixes_end_at_any_character(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["QUJD" * 60, "a  <|endoftext|> b<|endoftext|>", "we'll don't 'ral  x", "x \n\n  日本語é́  ", "1234567 ###$$$ tr   "]
+    many = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    c = token_counts.PrefixCounter(path, P.PATTERN)
+    for t in texts:
+        assert [int(n) for n in c.prefix_table(t)] == [many(t[:k]) for k in range(len(t) + 1)]
+    cuts = collect(token_counts.budget_cuts(docs(spark, texts), path, P.PATTERN, 4))
+    for i, t in enumerate(texts):
+        longest = max(k for k in range(len(t) + 1) if many(t[:k]) <= 4)
+        assert (cuts[i]["n_tokens"], cuts[i]["cut_chars"], cuts[i]["cut_tokens"]) == (many(t), longest, many(t[:longest]))
+    assert cuts[0]["cut_chars"] > 0
+
+
 def test_byte_bpe(spark):
     import tiktoken
 
