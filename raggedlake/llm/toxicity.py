@@ -11,7 +11,8 @@ with their character offsets.
 Only known words have weights, so the words between two known ones are a power of one 2 x 2 matrix; a text costs
 one pass to find its words and a few products for each known word.
 
-The fit uses at most SAMPLE toxic and SAMPLE other labelled documents (those of the smallest hash of their id).
+The fit uses at most SAMPLE toxic and SAMPLE other labelled documents (those of the smallest hash of their id); of
+their runs without markers, one in twenty. At most KNOWN words near markers are features.
 
 Defined results: a null or empty text, or one without words, has score BASE and no spans. Without both labels
 among the training rows every score is BASE. Null labels are ignored, repeated rows get the same score, and
@@ -33,7 +34,7 @@ from raggedlake.llm.quality_classifier import held_out
 from raggedlake.llm.text import CACHE_WORDS, column, slices, texts
 from raggedlake.plans.session import prepare_workers, table
 
-SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 500, 0.01
+SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 5_000, 0.01
 PREFIXES = range(4, 9)
 #: A gap matrix is computed up to this many words; by then it no longer changes but for its scale.
 FAR = 256

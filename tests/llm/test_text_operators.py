@@ -265,3 +265,11 @@ def test_license_scan_inherits_from_the_root(spark):
     assert [(got[i]["license"], got[i]["license_dir"]) for i in range(6)] == [("MIT", None), ("MIT", ""), ("MIT", ""), ("Apache-2.0", None), ("Apache-2.0", "src/deep"), (None, None)]
     for own in (["/LICENSE", "/src/a.py"], ["LICENSE", "a.py"]):
         assert [r["license"] for r in scan(spark, [mit, "x"], own).values()] == ["MIT", "MIT"]
+
+
+def test_toxicity_keeps_its_context_words():
+    letters = "abcdefghij"
+    near = [f"n{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}" for i in range(600)]
+    toxic = [(" ".join(["idiot", near[k % 600], near[(k + 1 + k // 600) % 600]]) + f" {k}", 1) for k in range(6600)]
+    field = toxicity.fit([*toxic, *[(t.replace("idiot", "plain"), 0) for t, _ in toxic]])
+    assert sum(w in field.known for w in near) == 600
