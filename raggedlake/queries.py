@@ -354,7 +354,7 @@ def jagged_total(s, d):
 
 @query("WITH v AS (SELECT user_id, list(event_id ORDER BY event_id) q FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY user_id) - 1 rid, q FROM v WHERE user_id < 60), a AS (SELECT rid, q FROM n WHERE rid < 5 UNION ALL SELECT 5, [1, 2] UNION ALL SELECT 6, [3, -9223372036854775808, -9223372036854775808]) SELECT rid, (i - 1)::INT AS pos, q[i]::BIGINT AS value FROM a, unnest(range(1, len(q) + 1)) u(i)")
 def set_from(s, d):
-    t = Table.of(jagged.build(table(s, d, "events").where("user_id < 60"), ["user_id"], ["event_id"], "event_id", "q"), "user_id")
+    t = Table.of(jagged.build(table(s, d, "events"), ["user_id"], ["event_id"], "event_id", "q"), "user_id")
     return jagged.flattened(jagged.set_from(t, "q", 5, [[1, 2], [3]], [2, 3]).df, "q", [RID]).withColumnRenamed(RID, "rid")
 
 

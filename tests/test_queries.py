@@ -40,3 +40,11 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert "eval_revenue" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.entry(spark).columns) == 3
+
+
+def test_set_from_reads_every_user(spark, tmp_path):
+    from raggedlake.queries import QUERIES
+
+    spark.range(40).selectExpr("id AS event_id", "100 + id % 8 AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["rid"], r["pos"]): r["value"] for r in QUERIES["set_from"](spark, str(tmp_path)).collect()}
+    assert [got[0, k] for k in range(5)] == [0, 8, 16, 24, 32] and (got[4, 0], got[5, 0], got[6, 0]) == (4, 1, 3)
