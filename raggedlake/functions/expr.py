@@ -31,7 +31,10 @@ class ExpressionError(ValueError):
 
 @dataclass(frozen=True)
 class Node:
-    """A compiled part: col; depth of arrays; elem int, float, bool or string; whether it is one value for the table."""
+    """A compiled part: col; depth of arrays; elem int, float, bool or string; whether it is one value for the table.
+
+    constant: made of literals and parameters alone. value: a literal's value, or the shape of a column's arrays.
+    """
 
     col: Column
     depth: int
@@ -39,6 +42,7 @@ class Node:
     single: bool = False
     kind: str = ""
     value: Any = None
+    constant: bool = False
 
 
 def _elem(kind: T.DataType) -> str:
@@ -113,13 +117,13 @@ class Compiler:
         if hasattr(value, "item") and getattr(value, "ndim", 0) == 0:
             value = value.item()
         if isinstance(value, bool):
-            return Node(F.lit(value), 0, "bool", value=value)
+            return Node(F.lit(value), 0, "bool", value=value, constant=True)
         if isinstance(value, int):
-            return Node(F.lit(value).cast("bigint"), 0, "int", value=value)
+            return Node(F.lit(value).cast("bigint"), 0, "int", value=value, constant=True)
         if isinstance(value, float):
-            return Node(F.lit(value), 0, "float", value=value)
+            return Node(F.lit(value), 0, "float", value=value, constant=True)
         if isinstance(value, str):
-            return Node(F.lit(value), 0, "string", value=value)
+            return Node(F.lit(value), 0, "string", value=value, constant=True)
         if isinstance(value, (list, tuple)) or hasattr(value, "tolist"):
             items = [self.literal(v) for v in (value.tolist() if hasattr(value, "tolist") else value)]
             elem = "float" if any(i.elem == "float" for i in items) else items[0].elem if items else "float"
@@ -155,11 +159,13 @@ class Compiler:
     def on_UnaryOp(self, node: ast.UnaryOp) -> Node:
         x = self.visit(node.operand)
         if isinstance(node.op, ast.USub):
-            return Node(_lift(lambda v: -v, x.col, x.depth), x.depth, x.elem, x.single)
+            if x.constant and x.elem in ("int", "float") and x.value is not None:
+                return self.literal(-x.value)
+            return Node(_lift(lambda v: -v, x.col, x.depth), x.depth, x.elem, x.single, x.kind, x.value, x.constant)
         if isinstance(node.op, ast.UAdd):
             return x
         if isinstance(node.op, (ast.Invert, ast.Not)):
-            return Node(_lift(lambda v: ~v if x.elem == "bool" else F.bitwise_not(v), x.col, x.depth), x.depth, x.elem, x.single)
+            return Node(_lift(lambda v: ~v if x.elem == "bool" else F.bitwise_not(v), x.col, x.depth), x.depth, x.elem, x.single, x.kind, constant=x.constant)
         raise ExpressionError("unary operator isn't supported")
 
     def on_BoolOp(self, node: ast.BoolOp) -> Node:
@@ -167,19 +173,15 @@ class Compiler:
 
     def pair(self, a: Node, b: Node, f: Callable[[Column, Column], Column], elem: str) -> Node:
         if a.single != b.single:  # a table's value beside rows: evaluate it, it is one number
-            if a.single and not self._constant(b):
+            if a.single and not b.constant:
                 a = self.literal(self._value(a))
-            elif b.single and not self._constant(a):
+            elif b.single and not a.constant:
                 b = self.literal(self._value(b))
         for x, y in ((a, b), (b, a)):
-            if x.kind == "equalsized" and y.depth == 0 and not self._constant(y) and not y.single:
+            if x.kind == "equalsized" and y.depth == 0 and not y.constant and not y.single:
                 wide = self._last_axis(x, y)
                 a, b = (a, wide) if x is a else (wide, b)
-        return Node(_lift2(f, a.col, a.depth, b.col, b.depth), max(a.depth, b.depth), elem, a.single or b.single, a.kind or b.kind)
-
-    @staticmethod
-    def _constant(n: Node) -> bool:
-        return n.value is not None and not n.kind
+        return Node(_lift2(f, a.col, a.depth, b.col, b.depth), max(a.depth, b.depth), elem, a.single or b.single, a.kind or b.kind, a.value if a.kind else b.value if b.kind else None, a.constant and b.constant)
 
     def _value(self, n: Node) -> Any:
         if self.scalar is None:
@@ -211,14 +213,14 @@ class Compiler:
                 f = {"&": lambda x, y: x & y, "|": lambda x, y: x | y, "^": lambda x, y: x != y}[op]
                 return self.pair(a, b, f, "bool")
             return self.pair(a, b, {"&": lambda x, y: x.bitwiseAND(y), "|": lambda x, y: x.bitwiseOR(y), "^": lambda x, y: x.bitwiseXOR(y)}[op], "int")
-        a, b = (Node(_lift(lambda v: v.cast("bigint"), x.col, x.depth), x.depth, "int", x.single, x.kind, x.value) if x.elem != "float" else x for x in (a, b))
+        a, b = (Node(_lift(lambda v: v.cast("bigint"), x.col, x.depth), x.depth, "int", x.single, x.kind, x.value, x.constant) if x.elem != "float" else x for x in (a, b))
         if op == "/":
             return self.pair(a, b, numeric.divide, "float")
         f = {
             "+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y,
-            "//": lambda x, y: numeric.floor_divide(x, y, floats), "%": lambda x, y: numeric.modulo(x, y, floats), "**": lambda x, y: numeric.power(x, y, floats),
+            "//": lambda x, y: numeric.floor_divide(x, y, floats), "%": lambda x, y: numeric.modulo(x, y, floats), "**": lambda x, y: numeric.power(x, y, floats, b.value if b.constant else None),
         }[op]
-        if op == "**" and not floats and isinstance(b.value, int) and b.value < 0:
+        if op == "**" and not floats and b.constant and isinstance(b.value, int) and b.value < 0:
             raise ExpressionError("integers to negative integer powers aren't integers")
         return self.pair(a, b, f, "float" if floats else "int")
 
@@ -245,20 +247,22 @@ class Compiler:
         if known and name in numeric.UNARY:
             x = self.visit(node.args[0])
             elem = "bool" if name == "isnan" else "float"
-            return Node(_lift(numeric.UNARY[name], x.col, x.depth), x.depth, elem, x.single, x.kind)
+            return Node(_lift(numeric.UNARY[name], x.col, x.depth), x.depth, elem, x.single, x.kind, x.value if x.kind else None, x.constant)
         if known and name in ("abs", "absolute"):
             x = self.visit(node.args[0])
-            return Node(_lift(F.abs, x.col, x.depth), x.depth, x.elem, x.single, x.kind)
+            return Node(_lift(F.abs, x.col, x.depth), x.depth, x.elem, x.single, x.kind, x.value if x.kind else None, x.constant)
         if known and name in numeric.BINARY:
             a, b = map(self.visit, node.args)
             floats = name == "arctan2" or "float" in (a.elem, b.elem)
-            f = (lambda x, y: numeric.power(x, y, floats)) if name == "power" else numeric.BINARY[name]
+            f = (lambda x, y: numeric.power(x, y, floats, b.value if b.constant and isinstance(b.value, int) else None)) if name == "power" else numeric.BINARY[name]
             return self.pair(a, b, f, "float" if floats else "int")
         if known and name == "where":
             c, a, b = map(self.visit, node.args)
             return self.where(c, a, b)
         if known and name in ("num", "len") and axis in (None, 1, -1):
             x = self.visit(node.args[0])
+            if not x.depth:
+                raise ExpressionError(f"{name}() needs arrays; count() counts rows")
             return Node(F.size(x.col).cast("bigint"), 0, "int")
         if known and name == "flatten":
             x = self.visit(node.args[0])
@@ -282,7 +286,7 @@ class Compiler:
             a2, b2 = (Node(_lift(lambda v: v.cast("double"), x.col, x.depth), x.depth, elem) if elem == "float" else x for x in (a, b))
             if a2.depth != b2.depth:
                 raise ExpressionError("where() needs values of one depth")
-            return Node(F.when(c.col, a2.col).otherwise(b2.col), a2.depth, elem)
+            return Node(F.when(c.col, a2.col).otherwise(b2.col), a2.depth, elem, constant=c.constant and a.constant and b.constant)
         both = self.pair(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")), elem)
         if both.depth not in (0, c.depth):
             raise ExpressionError("where() needs values of one depth")

@@ -24,10 +24,10 @@ def divide(a: Column, b: Column) -> Column:
 def floor_divide(a: Column, b: Column, floats: bool) -> Column:
     if floats:
         return F.when(b == 0, divide(a, b)).otherwise(F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))).cast("double"))
-    # exact for any long: the remainder fixes truncation towards zero
+    # integral division truncates towards zero; the remainder tells where to step down
     a, b = a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0))
     r = a % b
-    q = ((a - r) / b).cast("bigint")
+    q = F.call_function("div", a, b)
     return F.coalesce(F.when((r != 0) & ((r < 0) != (b < 0)), q - 1).otherwise(q), F.when(a.isNotNull(), F.lit(0)))
 
 
@@ -38,9 +38,25 @@ def modulo(a: Column, b: Column, floats: bool) -> Column:
     return F.coalesce(r, F.when(a.isNotNull() & b.isNotNull(), F.lit(NAN) if floats else F.lit(0)))
 
 
-def power(a: Column, b: Column, floats: bool) -> Column:
-    r = F.pow(a.cast("double"), b.cast("double"))
-    return r if floats else r.cast("bigint")
+def power(a: Column, b: Column, floats: bool, exponent: int | None = None) -> Column:
+    """exponent: the value of b where it is a literal. Integers are multiplied out; one that leaves 64 bits is an error."""
+    if floats:
+        return F.pow(a.cast("double"), b.cast("double"))
+    a = a.cast("bigint")
+    if exponent is not None and 0 <= exponent <= 64:
+        out, base, n = None, a, exponent
+        while n:  # squares no further than needed, as these could leave 64 bits where the power doesn't
+            if n & 1:
+                out = base if out is None else out * base
+            n >>= 1
+            if n:
+                base = base * base
+        return F.when(a.isNotNull(), F.lit(1).cast("bigint")) if out is None else out
+    # more than 65 factors change nothing but the sign: 0, 1 and -1 stay small, all else is an error by then
+    n = F.when(b > 65, b % 2 + 64).otherwise(b).cast("int")
+    out = F.aggregate(F.array_repeat(a, n), F.lit(1).cast("bigint"), lambda s, x: s * x)
+    wrong = F.raise_error(F.lit("integers to negative integer powers aren't integers"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(b < 0, wrong.cast("bigint")).otherwise(out)
 
 
 def log(x: Column, base: float | None = None) -> Column:

@@ -96,6 +96,7 @@ class Histogram:
     axes: tuple[Axis, ...]
     counts: DataFrame | None = None
     isdensity: bool = False
+    spark: SparkSession | None = None
 
     @classmethod
     def make(cls, binning: Sequence[Axis | Sequence[float]], weights: np.ndarray | None = None, spark: SparkSession | None = None, isdensity: bool = False) -> Histogram:
@@ -103,14 +104,14 @@ class Histogram:
         if not binning:
             raise ValueError("a histogram has axes")
         axes = tuple(a if isinstance(a, Axis) else Axis(first=float(a[0]), last=float(a[1]), step=float(a[2])) if isinstance(a, tuple) and len(a) == 3 else Axis.from_edges(a) for a in binning)
-        h = cls(axes, None, isdensity)
+        h = cls(axes, None, isdensity, spark)
         if weights is None:
             return h
         weights = np.asarray(weights)
         if weights.shape != h.shape:
             raise ValueError(f"weights of shape {weights.shape} don't fit bins of shape {h.shape}")
         rows = [(*map(int, i), float(weights[i])) for i in np.ndindex(*weights.shape)]
-        return cls(axes, spark.createDataFrame(rows, ", ".join([*(f"{n} int" for n in h.names), "weight double"])), isdensity)
+        return cls(axes, spark.createDataFrame(rows, ", ".join([*(f"{n} int" for n in h.names), "weight double"])), isdensity, spark)
 
     @property
     def names(self) -> list[str]:
@@ -136,10 +137,57 @@ class Histogram:
         """The histogram with these rows added."""
         if self.isdensity:
             raise ValueError("a density can't be filled")
+        if not isinstance(df, DataFrame):
+            if self.spark is None:
+                raise ValueError("arrays need a session: make(..., spark=...)")
+            df, columns = self._frame(df, columns)
         new = self.count(df, columns, weight)
         if self.counts is not None:
             new = self.counts.unionByName(new).groupBy(*self.names).agg(F.sum("weight").alias("weight"))
-        return Histogram(self.axes, new)
+        return Histogram(self.axes, new, spark=self.spark)
+
+    def _frame(self, data: Any, keys: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+        """Rows of an array (one column an axis), a sequence of arrays, a mapping of arrays (with keys: which) or a pandas frame."""
+        if isinstance(data, pd.DataFrame):
+            data = {str(c): data[c].to_numpy() for c in data.columns}
+        if isinstance(data, Mapping):
+            cols = [np.asarray(data[k], float) for k in (keys if keys is not None else data)]
+        elif isinstance(data, np.ndarray):
+            cols = [data.astype(float)] if data.ndim == 1 else list(data.astype(float).T)
+        else:
+            cols = [np.asarray(c, float) for c in data]
+        if len({len(c) for c in cols}) > 1:
+            raise ValueError("arrays of different lengths")
+        if len(cols) != len(self.axes):
+            raise ValueError(f"{len(cols)} columns for {len(self.axes)} axes")
+        names = [f"x{i}" for i in range(len(cols))]
+        return self.spark.createDataFrame(pd.DataFrame(dict(zip(names, cols))), ", ".join(f"{n} double" for n in names)), names
+
+    @property
+    def weights(self) -> np.ndarray:
+        if self.spark is None and self.counts is not None:
+            return self.to_numpy(self.counts.sparkSession)[0]
+        return self.to_numpy(self.spark)[0] if self.counts is not None else np.zeros(self.shape)
+
+    def view_as(self, library: str = "np", spark: SparkSession | None = None) -> Any:
+        """"np": weights and edges. "hist": the boost-histogram object, where that package is installed and no bin is closed on the right."""
+        if library == "np":
+            return self.to_numpy(spark or self.spark)
+        if library != "hist":
+            raise ValueError(f"no view for {library!r}")
+        if self.isdensity or not all(a.closedleft for a in self.axes):
+            raise ValueError("a density, or bins closed on the right, have no such view")
+        import hist
+
+        axes = [hist.axis.Regular(a.nbins, a.first, a.last) if a.is_range else hist.axis.Variable(list(a.edges)) for a in self.axes]
+        out = hist.Hist(*axes)
+        out[...] = self.weights
+        return out
+
+    @classmethod
+    def from_hist(cls, h: Any, spark: SparkSession, isdensity: bool = False) -> Histogram:
+        """A histogram of an object with axes of edges and values(), as the hist package has them; under- and overflow are left out."""
+        return cls.make([Axis.from_edges(np.asarray(a.edges)) for a in h.axes], np.asarray(h.values()), spark, isdensity)
 
     def dense(self, spark: SparkSession) -> DataFrame:
         """All bins, zeros too."""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raggedlake.operators.table import Table
-from raggedlake.plans.rowid import with_row_id
 from raggedlake.schema import KIND, RID, depth, innermost
 
 _INT_MIN = {"tinyint": -(2**7), "smallint": -(2**15), "int": -(2**31), "bigint": -(2**63)}
@@ -90,18 +89,19 @@ def flattened(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFr
     return df.select(*(keep or []), F.posexplode(f"`{name}`").alias("pos", "value"))
 
 
-def run_lengths(table: Table, name: str) -> Table:
-    """Lengths and cumulative lengths of runs of equal neighbours; no rows give no runs."""
+def run_lengths(table: Table, name: str, block: int = 65_536) -> Table:
+    """Lengths and cumulative lengths of runs of equal neighbours; no rows give no runs.
+
+    Neighbours are compared inside blocks of positions, in one shuffle; only a block's last row (one in `block`) goes to the next one.
+    """
     v = F.col("v")
-    rows = table.df.select(RID, F.col(f"`{name}`").alias("v"))
-    before = rows.select((F.col(RID) + 1).alias(RID), F.col("v").alias("prev"), F.lit(1).alias("has"))
-    marked = rows.join(before, RID, "left").withColumn("new", F.when(F.col("has").isNull() | ~v.eqNullSafe(F.col("prev")), 1).otherwise(0).cast("bigint"))
-    starts = marked.where("new = 1").select(F.col(RID).alias("first"), "v")
-    numbered = with_row_id(starts, ["first"])
-    after = numbered.select((F.col(RID) - 1).alias(RID), F.col("first").alias("next"))
-    total = table.df.agg((F.max(RID) + 1).alias("total"))
-    runs = numbered.join(after, RID, "left").join(F.broadcast(total)).withColumn("cl", F.coalesce("next", "total"))  # total: one row
-    return Table(runs.select(RID, F.col("v").alias("value"), (F.col("cl") - F.col("first")).alias("length"), "cl"))
+    rows = table.df.select(RID, F.col(f"`{name}`").alias("v")).withColumn("_b", F.floor(F.col(RID) / block))
+    edges = rows.groupBy("_b").agg(F.max_by("v", RID).alias("_edge")).select((F.col("_b") + 1).alias("_b"), "_edge", F.lit(True).alias("_has"))
+    inside = rows.withColumn("_before", F.lag(F.struct("v")).over(Window.partitionBy("_b").orderBy(RID)))
+    starts = F.when(F.col("_before").isNotNull(), ~v.eqNullSafe(F.col("_before.v"))).when(F.col("_has"), ~v.eqNullSafe(F.col("_edge"))).otherwise(F.lit(True))
+    marked = inside.join(edges, "_b", "left").withColumn("_new", starts.cast("bigint")).select(RID, "v", "_new")
+    runs = running_sum(marked, F.col("_new"), "_run", block).groupBy((F.col("_run") - 1).alias(RID)).agg(F.first("v").alias("value"), F.count(F.lit(1)).alias("length"), (F.max(F.col(RID)) + 1).alias("cl"))
+    return Table(runs)
 
 
 def explode_lengths(table: Table, name: str) -> DataFrame:
@@ -164,10 +164,3 @@ def set_from(table: Table, name: str, at: int, rows: list[list], lens: list[int]
     new = table.spark.createDataFrame([(at + i, r, n) for i, (r, n) in enumerate(zip(rows, lens))], T.StructType([T.StructField(RID, T.LongType()), T.StructField(name, kind), T.StructField("_n", T.IntegerType())]))
     new = new.select(RID, fill_beyond(F.col(name), F.col("_n"), kind.elementType, unsigned).alias(name))
     return Table(table.df.where(F.col(RID) < at).select(RID, name).unionByName(new), table.attrs)
-
-
-def check_plain(kind: T.DataType) -> None:
-    """Arrays may hold numbers, truth values, texts, bytes and arrays, not records."""
-    inner = innermost(kind)
-    if isinstance(inner, (T.StructType, T.MapType)):
-        raise ValueError(f"arrays of {inner.simpleString()} aren't supported")

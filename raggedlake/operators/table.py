@@ -91,6 +91,14 @@ class Struct(dict):
             else:
                 self[k] = v
 
+    def view_as(self, library: str = "pd", **options: Any) -> Any:
+        """Members differ in length, so a struct has no view of its own; view its members."""
+        raise NotImplementedError("a struct has no view; view its members")
+
+    def __repr__(self) -> str:
+        inner = ", ".join(f"{k}: {v!r}" for k, v in self.items())
+        return f"Struct({inner})" + (f" with attrs={self.attrs}" if self.attrs else "")
+
     def __getattr__(self, name: str) -> Any:
         if name.startswith("_") or name not in self:
             raise AttributeError(name)
@@ -129,13 +137,19 @@ class Table:
         self.df = df
         self.attrs = {k: v for k, v in (attrs or {}).items() if k != "datatype"}
         S.check_datatype(self.datatype, attrs)
-        self._count: int | None = None
+        for f in self.schema.fields:
+            if f.metadata.get(KIND) not in ("encoded", "complex"):
+                S.check_plain(f.dataType)
+        self._count: int | None = getattr(df, "_raggedlake_count", None)
 
     @classmethod
     def of(cls, df: DataFrame, order_by: str | Sequence[str], attrs: Mapping[str, Any] | None = None) -> Table:
         """A table of a DataFrame's rows in the order of these columns."""
         keys = [order_by] if isinstance(order_by, str) else list(order_by)
-        return cls(_keep_metadata(with_row_id(df, keys), df), attrs)
+        numbered = with_row_id(df, keys)
+        out = cls(_keep_metadata(numbered, df), attrs)
+        out._count = numbered._raggedlake_count
+        return out
 
     @classmethod
     def empty(cls, spark: SparkSession, fields: T.StructType | str) -> Table:
@@ -157,6 +171,28 @@ class Table:
     def items(self) -> list[tuple[str, Column]]:
         return [(c, F.col(f"`{c}`")) for c in self.columns]
 
+    def values(self) -> list[Column]:
+        return [c for _, c in self.items()]
+
+    def __iter__(self):
+        """The names of the columns; rows() iterates over rows."""
+        return iter(self.columns)
+
+    def dtype(self, path: str) -> str:
+        """The element type of a column, whatever its arrays."""
+        f = S.field_at(self.df.schema, path)
+        return f.metadata.get("dtype") or S.innermost(f.dataType).simpleString()
+
+    def ndim(self, path: str) -> int:
+        """Dimensions: the rows, and one for each level of arrays."""
+        return 1 + S.depth(S.field_at(self.df.schema, path).dataType)
+
+    def shape(self, path: str) -> tuple[int | None, ...]:
+        """The rows and the arrays' sizes; None where these differ from row to row."""
+        f = S.field_at(self.df.schema, path)
+        inner = f.metadata.get("shape") if f.metadata.get(KIND) == "equalsized" else None
+        return (len(self), *(inner or [None] * S.depth(f.dataType)))
+
     def __contains__(self, path: str) -> bool:
         try:
             S.field_at(self.df.schema, path)
@@ -211,8 +247,14 @@ class Table:
         units = {c: u for c in self.columns if (u := self.getattrs(c).get("units"))}
         return f"Table({self.datatype}" + (f", units={units}" if units else "") + (f", attrs={self.attrs}" if self.attrs else "") + ")"
 
-    def _same(self, df: DataFrame, keep: bool = True) -> Table:
-        return Table(_keep_metadata(df, self.df) if keep else df, self.attrs)
+    def _same(self, df: DataFrame, keep: bool = True, count: int | None = None) -> Table:
+        """A table of other rows with this one's attributes; count: how many rows, where that is known."""
+        out = Table(_keep_metadata(df, self.df) if keep else df, self.attrs)
+        if count is not None:
+            out._count = count
+        elif out._count is None:
+            out._count = getattr(df, "_raggedlake_count", None)
+        return out
 
     # columns
 
@@ -222,7 +264,7 @@ class Table:
             path = S.split_path(n)
             f = S.field_at(self.df.schema, n)
             cols.append(F.col(".".join(f"`{p}`" for p in path)).alias("__".join(path), metadata=f.metadata))
-        return Table(self.df.select(RID, *cols), self.attrs)
+        return self._same(self.df.select(RID, *cols), False, self._count)
 
     def column(self, path: str) -> Column:
         S.field_at(self.df.schema, path)
@@ -241,8 +283,8 @@ class Table:
             inner = value.df.select(RID, (F.col(f"`{value.columns[0]}`") if len(value.columns) == 1 else F.struct(*[F.col(f"`{c}`") for c in value.columns])).alias("_new"))
             kind = inner.schema["_new"].dataType
             df = self.df.join(inner, RID, "left")
-            return self._same(self._set(df, names, F.coalesce(F.col("_new"), default_of(kind)), self.df.schema).drop("_new"))
-        return self._same(self._set(self.df, names, value if isinstance(value, Column) else F.lit(value), self.df.schema))
+            return self._same(self._set(df, names, F.coalesce(F.col("_new"), default_of(kind)), self.df.schema).drop("_new"), count=self._count)
+        return self._same(self._set(self.df, names, value if isinstance(value, Column) else F.lit(value), self.df.schema), count=self._count)
 
     @staticmethod
     def _set(df: DataFrame, names: list[str], value: Column, schema: T.StructType) -> DataFrame:
@@ -268,8 +310,8 @@ class Table:
         names = S.split_path(path)
         S.field_at(self.df.schema, path)
         if len(names) == 1:
-            return self._same(self.df.drop(names[0]))
-        return self._same(self.df.withColumn(names[0], F.col(f"`{names[0]}`").dropFields(".".join(names[1:]))))
+            return self._same(self.df.drop(names[0]), count=self._count)
+        return self._same(self.df.withColumn(names[0], F.col(f"`{names[0]}`").dropFields(".".join(names[1:]))), count=self._count)
 
     remove_column = remove
 
@@ -308,27 +350,33 @@ class Table:
             lo = start or 0
             cond = (rid >= lo) & ((rid - lo) % step == 0)
             df = self.df.where(cond if stop is None else cond & (rid < stop))
-            return self._same(df.withColumn(RID, ((rid - lo) / step).cast("bigint")))
+            count = None if self._count is None else len(range(*slice(start, stop, step).indices(self._count)))
+            return self._same(df.withColumn(RID, ((rid - lo) / step).cast("bigint")), count=count)
         lo, hi, step = slice(start, stop, step).indices(len(self))
         if step > 0:
             return self.slice(lo, max(lo, hi), step)
         df = self.df.where((rid <= lo) & (rid > hi) & ((lo - rid) % -step == 0))
-        return self._same(df.withColumn(RID, ((lo - rid) / -step).cast("bigint")))
+        return self._same(df.withColumn(RID, ((lo - rid) / -step).cast("bigint")), count=len(range(lo, hi, step)))
 
     def take(self, positions: Sequence[int] | DataFrame) -> Table:
         """Rows at these positions, in this order and as often as they are named.
 
-        positions: a sequence, or for very many a DataFrame (pos, idx).
+        positions: a sequence, or for very many a DataFrame (pos, idx). A position of a sequence that the table doesn't
+        have is an IndexError; rows of a DataFrame with such an idx give no row.
         """
+        count = None
         if isinstance(positions, DataFrame):
             want = positions.select("pos", "idx")
         else:
             idx = [self._index(int(i)) for i in positions]
+            count = len(idx)
+            if idx and max(idx) >= len(self):
+                raise IndexError(max(idx))
             want = self.spark.createDataFrame(list(enumerate(idx)), "pos bigint, idx bigint")
             if len(idx) <= BROADCAST_ROWS:
                 want = F.broadcast(want)
         df = self.df.join(want, F.col(RID) == F.col("idx")).withColumn(RID, F.col("pos")).drop("pos", "idx")
-        return self._same(df.select(*self.df.columns))
+        return self._same(df.select(*self.df.columns), count=count)
 
     def where(self, mask: Column | str) -> Table:
         """Rows for which the predicate (or expression text) is true, numbered anew."""
@@ -355,6 +403,8 @@ class Table:
         if key and isinstance(key[0], str):
             return self.select(key)
         if key and isinstance(key[0], (bool, np.bool_)):
+            if len(key) != len(self):
+                raise IndexError(f"a mask of {len(key)} for {len(self)} rows")
             return self.take([i for i, k in enumerate(key) if k])
         return self.take(key)
 
@@ -382,7 +432,7 @@ class Table:
         new, k = self._rows_like(rows)
         cols = [RID, *self.columns]
         moved = self.df.withColumn(RID, F.when(F.col(RID) >= i, F.col(RID) + k).otherwise(F.col(RID))).select(*cols)
-        return self._same(moved.unionByName(new.withColumn(RID, F.col(RID) + i).select(*cols)))
+        return self._same(moved.unionByName(new.withColumn(RID, F.col(RID) + i).select(*cols)), count=n + k)
 
     def append(self, rows: Table | Sequence[Mapping[str, Any]] | Mapping[str, Any]) -> Table:
         return self.insert(len(self), rows)
@@ -394,7 +444,7 @@ class Table:
             raise IndexError(i)
         new, _ = self._rows_like(row)
         cols = [RID, *self.columns]
-        return self._same(self.df.where(F.col(RID) != i).select(*cols).unionByName(new.withColumn(RID, F.lit(i).cast("bigint")).select(*cols)))
+        return self._same(self.df.where(F.col(RID) != i).select(*cols).unionByName(new.withColumn(RID, F.lit(i).cast("bigint")).select(*cols)), count=len(self))
 
     def assign(self, path: str, positions: Sequence[int], value: Any) -> Table:
         """One value at some rows of a column."""
@@ -406,12 +456,12 @@ class Table:
         """Drop rows from the end, or add rows of zeros, empty texts and empty arrays."""
         have = len(self)
         if n <= have:
-            return self._same(self.df.where(F.col(RID) < n))
+            return self._same(self.df.where(F.col(RID) < n), count=n)
         more = self.spark.range(have, n).select(F.col("id").alias(RID), *[default_of(f.dataType).alias(f.name) for f in self.schema.fields])
-        return self._same(self.df.select(RID, *self.columns).unionByName(more))
+        return self._same(self.df.select(RID, *self.columns).unionByName(more), count=n)
 
     def clear(self) -> Table:
-        return self._same(self.df.where(F.lit(False)))
+        return self._same(self.df.where(F.lit(False)), count=0)
 
     def reserve_capacity(self, n: int) -> Table:
         """Buffers are Spark's own; there is nothing to reserve or to trim."""
@@ -438,23 +488,32 @@ class Table:
         both = self.df.drop(*[k for k in named if k in self.columns]).join(right, RID, "left")
         cols_ = [F.coalesce(F.col(f"`_o_{k}`"), default_of(other.df.schema[c].dataType)).alias(k, metadata=other.df.schema[c].metadata) for k, c in named.items()]
         mine = [F.col(f"`{c}`") for c in self.columns if c not in named]
-        return self._same(both.select(RID, *mine, *cols_))
+        return self._same(both.select(RID, *mine, *cols_), count=self._count)
 
     def _compiler(self, parameters: Mapping[str, Any] | None = None, modules: Mapping[str, Any] | None = None) -> Compiler:
         rows = lambda col, n: [r[0] for r in self.df.orderBy(RID).select(col).limit(n).collect()]  # noqa: E731  n: one array's width
         return Compiler(self.df.schema, parameters, modules, rows, lambda col: self.df.agg(col).first()[0])
 
-    def eval(self, text: str, parameters: Mapping[str, Any] | None = None, modules: Mapping[str, Any] | None = None, units: str | None = None) -> Scalar | Table:
-        """The value of an expression: a Scalar, or a table with the column 'value'."""
+    def eval(self, text: str, parameters: Mapping[str, Any] | None = None, modules: Mapping[str, Any] | None = None, units: str | None = None, library: str | None = None) -> Scalar | Table:
+        """The value of an expression: a Scalar, or a table with the column 'value'.
+
+        library: "np", "ak" or "lgdo", as callers may name one; all are compiled to the same columns, and any other name is an error.
+        """
+        if library not in (None, "np", "ak", "lgdo"):
+            raise ValueError(f"no library {library!r}")
         node = self._compiler(parameters, modules).compile(text)
         meta = {"units": units} if units else {}
         if node.single:
             return Scalar(self.df.agg(node.col).first()[0], meta)
-        if Compiler._constant(node) and node.depth == 0:
-            return Scalar(node.value, meta)
+        if node.constant and node.depth == 0:
+            return Scalar(self.spark.range(1).select(node.col).first()[0] if node.value is None else node.value, meta)
         if node.kind == "equalsized":
             meta[KIND] = "equalsized"
-        return Table(self.df.select(RID, node.col.alias("value", metadata=meta)))
+            if node.value:
+                meta["shape"] = list(node.value)
+        out = Table(self.df.select(RID, node.col.alias("value", metadata=meta)))
+        out._count = self._count
+        return out
 
     def with_column(self, name: str, text: str, parameters: Mapping[str, Any] | None = None, modules: Mapping[str, Any] | None = None) -> Table:
         """Add the column of an expression."""

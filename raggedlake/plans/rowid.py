@@ -30,9 +30,14 @@ def with_row_id(df: DataFrame, order_by: list[str], partitions: int | None = Non
         offsets.append(total)
         total += counts.get(p, 0)
     at = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_p"))
-    return rows.withColumn(RID, at + F.col("_k")).drop("_p", "_k")
+    out = rows.withColumn(RID, at + F.col("_k")).drop("_p", "_k")
+    out._raggedlake_count = total  # known by now; tables that keep the rows needn't count them again
+    return out
 
 
 def renumber(df: DataFrame) -> DataFrame:
     """Close gaps in _rid after rows went or came; the order stays."""
-    return with_row_id(df.withColumnRenamed(RID, "_old"), ["_old"]).drop("_old")
+    numbered = with_row_id(df.withColumnRenamed(RID, "_old"), ["_old"])
+    out = numbered.drop("_old")
+    out._raggedlake_count = numbered._raggedlake_count
+    return out

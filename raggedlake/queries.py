@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raggedlake.operators import encoded, jagged, waveform
 from raggedlake.operators.histogram import Axis, Histogram
-from raggedlake.operators.table import Table
-from raggedlake.plans.session import table
+from raggedlake.operators.table import Struct, Table
+from raggedlake.plans.session import scratch_dir, table
 from raggedlake.schema import KIND, RID
 from raggedlake.sources import interop
 
@@ -131,6 +135,33 @@ def eval_last_axis(s, d):
     return wide.eval("a + w").df.select(F.col(RID).alias("rid"), F.posexplode("value").alias("pos", "value"))
 
 
+@query("SELECT p_partkey, p_size::BIGINT * 94906267 // 10 AS tenth, (p_size::BIGINT + 94906266) * (p_size::BIGINT + 94906266) AS square, 9223372036854775807 // p_size::BIGINT AS most, (p_size % 5)::BIGINT * (p_size % 5) * (p_size % 5) AS cube FROM part")
+def eval_big_integers(s, d):
+    t = _free(s, d, "part")
+    for name, text in (("tenth", "p_size * 94906267 // 10"), ("square", "(p_size + 94906266)**2"), ("most", "9223372036854775807 // p_size"), ("cube", "(p_size % 5)**(1 + 2)")):
+        t = t.with_column(name, text)
+    return t.df.select("p_partkey", "tenth", "square", "most", "cube")
+
+
+@query("SELECT -count(*) + 2 AS n, sum(p_size) * -1 AS total FROM part")
+def eval_scalar_minus(s, d):
+    t = _free(s, d, "part")
+    n, total = t.eval("np.count(p_size) * -1 + (1 + 1)"), t.eval("np.sum(p_size) * -1")
+    return s.createDataFrame([(n.value, total.value)], "n bigint, total bigint")
+
+
+@query("SELECT vec_id, (i - 1)::INT AS pos, embedding[i]::DOUBLE * -1 * 2 AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i)")
+def eval_wide_constants(s, d):
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"), F.lit(None).cast("bigint").alias(RID)).withMetadata("w", {KIND: "equalsized", "shape": [64]})
+    return jagged.flattened(Table(e).with_column("v", "w * -1 * (1 + 1)").df, "v", ["vec_id"])
+
+
+@query("SELECT unnest(['np', 'ak', 'lgdo']) AS library, (SELECT sum(p_size) FROM part)::BIGINT AS total")
+def eval_library(s, d):
+    t = _free(s, d, "part")
+    return s.createDataFrame([(x, t.eval("np.sum(p_size)", library=x).value) for x in ("np", "ak", "lgdo")], "library string, total bigint")
+
+
 # selection by position
 
 
@@ -165,6 +196,19 @@ def row_get(s, d):
     return _events(s, d).slice(17, 18).df.drop(RID)
 
 
+@query(EV + "SELECT event_id, event_type, user_id, value FROM e WHERE rid = 17 UNION ALL SELECT event_id, event_type, user_id, value FROM e WHERE rid = (SELECT max(rid) FROM e)")
+def row_at(s, d):
+    t = _events(s, d)
+    rows = [tuple(t.row(i)[c].value for c in t.columns) for i in (17, -1)]
+    return s.createDataFrame(rows, t.schema)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def rows_iterated(s, d):
+    t = Table.of(table(s, d, "nation").select(F.col("n_nationkey").cast("bigint"), "n_name"), "n_nationkey")
+    return s.createDataFrame([tuple(r) for r in t.rows()], "n_nationkey bigint, n_name string")
+
+
 @query(EV + "SELECT rid, event_id, CASE WHEN rid IN (1, 5) THEN -1.0::DOUBLE ELSE value END AS value FROM e")
 def row_assign(s, d):
     return _rid(_events(s, d).assign("value", [1, 5], -1.0)).select("rid", "event_id", "value")
@@ -271,11 +315,11 @@ def vov_lengths(s, d):
     return jagged.cumulative_lengths(t, "q").df.join(jagged.lengths(t, "q").df, RID).select(F.col(RID).alias("rid"), "length", "cl")
 
 
-@query("WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 p, value FROM events), r AS (SELECT range AS rid FROM range((SELECT count(*) // 7 FROM events))) SELECT rid, (p - rid * 7)::INT AS pos, value FROM r JOIN e ON p >= rid * 7 AND p < rid * 7 + 7")
+@query("WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 p, value FROM events), r AS (SELECT range AS rid FROM range((SELECT (count(*) + 6) // 7 FROM events))) SELECT rid, (p - rid * 7)::INT AS pos, value FROM r JOIN e ON p >= rid * 7 AND p < rid * 7 + 7")
 def vov_from_lengths(s, d):
     flat = _events(s, d).select(["value"])
-    n = len(flat) // 7
-    cl = Table(s.range(n).select(F.col("id").alias(RID), ((F.col("id") + 1) * 7).alias("cl")))
+    n = -(-len(flat) // 7)
+    cl = Table(s.range(n).select(F.col("id").alias(RID), F.least((F.col("id") + 1) * 7, F.lit(len(flat))).alias("cl")))
     got = jagged.from_lengths(flat, cl)
     return jagged.flattened(got.df, "values", [RID]).withColumnRenamed(RID, "rid")
 
@@ -352,12 +396,24 @@ def jagged_total(s, d):
     return df.agg(node.col.alias("total"))
 
 
-@query("WITH v AS (SELECT user_id, list(event_id ORDER BY event_id) q FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY user_id) - 1 rid, q FROM v WHERE user_id < 60), a AS (SELECT rid, q FROM n WHERE rid < 5 UNION ALL SELECT 5, [1, 2] UNION ALL SELECT 6, [3, -9223372036854775808, -9223372036854775808]) SELECT rid, (i - 1)::INT AS pos, q[i]::BIGINT AS value FROM a, unnest(range(1, len(q) + 1)) u(i)")
+@query("WITH v AS (SELECT user_id, list(event_id ORDER BY event_id) q FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY user_id) - 1 rid, q FROM v), a AS (SELECT rid, q FROM n WHERE rid < 5 UNION ALL SELECT 5, [1, 2] UNION ALL SELECT 6, [3, -9223372036854775808, -9223372036854775808]) SELECT rid, (i - 1)::INT AS pos, q[i]::BIGINT AS value FROM a, unnest(range(1, len(q) + 1)) u(i)")
 def set_from(s, d):
     t = Table.of(jagged.build(table(s, d, "events"), ["user_id"], ["event_id"], "event_id", "q"), "user_id")
     return jagged.flattened(jagged.set_from(t, "q", 5, [[1, 2], [3]], [2, 3]).df, "q", [RID]).withColumnRenamed(RID, "rid")
 
 
+@query(V + ", n AS (SELECT row_number() OVER (ORDER BY l_orderkey) - 1 rid, l_orderkey, q FROM v) SELECT (rid - 3) // 2 AS rid, (i - 1)::INT AS pos, q[i] AS value FROM n, unnest(range(1, len(q) + 1)) u(i) WHERE rid >= 3 AND (rid - 3) % 2 = 0")
+def vov_slice(s, d):
+    t = Table.of(_per_order(s, d), "l_orderkey")
+    return jagged.flattened(t[3::2].df, "q", [RID]).withColumnRenamed(RID, "rid")
+
+
+@query(V + ", n AS (SELECT row_number() OVER (ORDER BY l_orderkey) - 1 rid, q FROM v) SELECT rid, (i - 1)::INT AS pos, CASE WHEN rid = 4 THEN i * 0.5::DOUBLE ELSE q[i] END AS value FROM n, unnest(range(1, CASE WHEN rid = 4 THEN 10 ELSE len(q) + 1 END)) u(i)")
+def vov_assign_row(s, d):
+    t = Table.of(_per_order(s, d), "l_orderkey").select(["q"]).replace(4, {"q": [0.5 * i for i in range(1, 10)]})
+    return jagged.flattened(t.df, "q", [RID]).withColumnRenamed(RID, "rid")
+
+
 # histograms
 
 
@@ -400,6 +456,21 @@ def hist_twice(s, d):
     return Histogram.make([(0, 50, 5)]).fill(li, ["l_quantity"]).fill(li, ["l_quantity"]).counts
 
 
+@query("SELECT r.range::INT AS bin_0, coalesce(w, 0)::BIGINT AS weight FROM range(5) r LEFT JOIN (SELECT floor(p_size / 10.0::DOUBLE)::INT b, count(*) w FROM part WHERE p_size >= 0 AND p_size < 50 GROUP BY 1) ON b = r.range")
+def hist_arrays(s, d):
+    sizes = table(s, d, "part").select("p_size").toPandas()
+    by_key = Histogram.make([(0, 50, 10)], spark=s).fill({"other": [], "size": sizes["p_size"].to_numpy()}, ["size"])
+    frame = Histogram.make([(0, 50, 10)], spark=s).fill(sizes)
+    assert (by_key.weights == frame.weights).all()
+    return frame.dense(s)
+
+
+@query("SELECT i::INT AS edge, 2.5::DOUBLE * i AS value FROM range(21) t(i)")
+def axis_edges(s, d):
+    a = Axis.from_range_edges([2.5 * i for i in range(21)])
+    return s.createDataFrame([(i, float(e)) for i, e in enumerate(a.all_edges)], "edge int, value double")
+
+
 # waveforms, equal-sized, encoded and interchange
 
 
@@ -454,3 +525,115 @@ def detector_ids(s, d):
 def pandas_view(s, d):
     df = table(s, d, "customer").select("c_custkey", F.struct(F.col("c_acctbal").alias("balance")).alias("m"), F.col("c_custkey").alias(RID))
     return interop.view(Table(df), prefix="v_")
+
+
+# tables from and to the driver: these are about small tables, so all rows of nation or region travel
+
+_NA = "WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 rid, n_nationkey::BIGINT n_nationkey, n_name, n_regionkey::BIGINT n_regionkey FROM nation) "
+
+
+def _nations(s: SparkSession, d: str) -> Table:
+    return Table.of(table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey")), "n_nationkey")
+
+
+def _by_region(s: SparkSession, d: str) -> Table:
+    return Table.of(jagged.build(_nations(s, d).df, ["n_regionkey"], ["n_nationkey"], "n_nationkey", "k"), "n_regionkey")
+
+
+@query(_NA + "SELECT rid, n_nationkey, n_name FROM n")
+def columns_from_arrays(s, d):
+    rows = _nations(s, d).ordered().toPandas()
+    return _rid(interop.from_columns(s, {"n_nationkey": rows["n_nationkey"].to_numpy(), "n_name": rows["n_name"].tolist()}))
+
+
+@query(_NA + "SELECT rid, n_nationkey, n_name, n_regionkey FROM n")
+def columns_from_pandas(s, d):
+    return _rid(interop.from_pandas(s, _nations(s, d).ordered().toPandas()))
+
+
+@query(_NA + ", g AS (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) k FROM n GROUP BY 1) SELECT n_regionkey AS rid, (i - 1)::INT AS pos, k[i] AS value FROM g, unnest(range(1, len(k) + 1)) u(i)")
+def arrays_from_lists(s, d):
+    lists = [list(r[0]) for r in _by_region(s, d).df.orderBy(RID).select("k").collect()]
+    return jagged.flattened(interop.from_columns(s, {"k": lists}).df, "k", [RID]).withColumnRenamed(RID, "rid")
+
+
+@query(_NA + "SELECT rid, i::INT AS pos, n_nationkey + i AS value, 'array_of_equalsized_arrays<1,1>{real}' AS datatype FROM n, range(3) t(i)")
+def arrow_fixed_lists(s, d):
+    keys = _nations(s, d).ordered().toArrow()["n_nationkey"].to_numpy()
+    wide = pa.FixedSizeListArray.from_arrays(pa.array((keys[:, None] + np.arange(3)).ravel()), 3)
+    t = interop.from_arrow(s, wide, "v")
+    return jagged.flattened(t.df, "v", [RID]).withColumnRenamed(RID, "rid").withColumn("datatype", F.lit(t.datatype_of("v")))
+
+
+@query(_NA + "SELECT rid, n_nationkey AS value FROM n")
+def arrow_chunks(s, d):
+    keys = _nations(s, d).ordered().toArrow()["n_nationkey"].combine_chunks()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)  # two chunks are joined
+        return _rid(interop.from_arrow(s, pa.chunked_array([keys[:10], keys[10:]])))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'keV' AS units, 'array<1>{real}' AS datatype, 'nations' AS title FROM nation")
+def attrs_round_trip(s, d):
+    t = _nations(s, d).setattrs("n_nationkey", units="keV")
+    t = interop.from_arrow(s, interop.to_arrow(Table(t.df, {"title": "nations"})))
+    a = t.getattrs("n_nationkey", datatype=True)
+    return t.df.select("n_nationkey", F.lit(a["units"]).alias("units"), F.lit(a["datatype"]).alias("datatype"), F.lit(t.getattrs()["title"]).alias("title"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def file_round_trip(s, d):
+    path = f"{scratch_dir(s)}/table-{uuid.uuid4().hex}"
+    interop.write(_customers(s, d), path)
+    return interop.read(s, path).df.drop(RID)
+
+
+@query(_NA + "SELECT n_nationkey AS key, n_name AS name, 'struct{key,name}' AS datatype FROM n WHERE rid = 3")
+def struct_members(s, d):
+    row = _nations(s, d).row(3)
+    got = Struct({"key": row["n_nationkey"], "name": row["n_name"]})
+    return s.createDataFrame([(got["key"].value, got.name.value, got.datatype)], "key bigint, name string, datatype string")
+
+
+@query(_NA + "SELECT rid, CASE WHEN rid = 2 THEN 'other' ELSE n_name END AS text, CASE WHEN rid = 2 THEN 5 ELSE length(n_name) END::BIGINT AS size FROM n")
+def encoded_rows(s, d):
+    t = _nations(s, d)
+    t = Table(encoded.add_encoded(t.df, "e", F.col("n_name").cast("binary"), F.length("n_name")))
+    t = encoded.set_row(t, "e", 2, b"other", 5)
+    assert encoded.get(t, "e", 2) == (b"other", 5)
+    rows = [(i, data.decode(), size) for i, (data, size) in enumerate(encoded.iterate(t, "e"))]
+    return s.createDataFrame(rows, "rid bigint, text string, size bigint")
+
+
+@query(_NA + ", g AS (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) k FROM n GROUP BY 1) SELECT n_regionkey AS rid, i::INT AS pos, coalesce(k[i + 1], -1) AS value FROM g, unnest(range((SELECT max(len(k)) FROM g))) u(i)")
+def numpy_view(s, d):
+    got = interop.view_as(_by_region(s, d), "np", ["k"], fill=-1)
+    return s.createDataFrame([(i, j, int(v)) for (i, j), v in np.ndenumerate(got)], "rid bigint, pos int, value bigint")
+
+
+@query(_NA + "SELECT rid, n_nationkey AS key, 'm' AS units FROM n")
+def units_view(s, d):
+    t = _nations(s, d).setattrs("n_nationkey", units="m")
+    got = interop.view_as(t, "pd", ["n_nationkey"], with_units=True)
+    return s.createDataFrame([(i, int(k), got.attrs["units"]["n_nationkey"]) for i, k in enumerate(got["n_nationkey"])], "rid bigint, key bigint, units string")
+
+
+@query("SELECT r_regionkey::BIGINT AS rid, (i - 1)::INT AS i, r_regionkey * 0.5::DOUBLE + (i - 1) * 2.0::DOUBLE AS time, (r_regionkey + i)::DOUBLE AS value FROM region, unnest(range(1, 4)) u(i)")
+def waveform_view(s, d):
+    k = F.col("r_regionkey").cast("double")
+    df = waveform.add_waveform(table(s, d, "region").select("r_regionkey"), "wf", F.array(k + 1, k + 2, k + 3), k * 0.5, 2.0, "ns", "ns")
+    t = interop.from_arrow(s, interop.view_as(Table.of(df, "r_regionkey"), "arrow", ["wf"]))
+    return waveform.samples(t.df, "wf", [RID]).withColumnRenamed(RID, "rid")
+
+
+@query("SELECT unnest(['same', 'value', 'attrs', 'rows']) AS change, unnest([true, false, false, false]) AS equal, (SELECT count(*) FROM nation)::BIGINT AS n")
+def tables_equal(s, d):
+    t = _nations(s, d)
+    others = {"same": _nations(s, d), "value": t.assign("n_name", [3], "x"), "attrs": t.setattrs("n_name", units="m"), "rows": t.resize(10)}
+    return s.createDataFrame([(k, t.equals(o), len(t)) for k, o in others.items()], "change string, equal boolean, n bigint")
+
+
+@query("SELECT unnest(['n_regionkey', 'k']) AS name, unnest([1, 2])::INT AS ndim, unnest(['bigint', 'bigint']) AS dtype, (SELECT count(DISTINCT n_regionkey) FROM nation)::BIGINT AS n")
+def column_dimensions(s, d):
+    t = _by_region(s, d)
+    return s.createDataFrame([(c, t.ndim(c), t.dtype(c), t.shape(c)[0]) for c in t], "name string, ndim int, dtype string, n bigint")

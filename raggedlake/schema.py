@@ -169,3 +169,10 @@ def split_path(path: str) -> list[str]:
     if not names:
         raise KeyError(path)
     return names
+
+
+def check_plain(kind: T.DataType) -> None:
+    """Arrays may hold numbers, truth values, texts, bytes and arrays, not records."""
+    inner = innermost(kind)
+    if isinstance(kind, T.ArrayType) and isinstance(inner, (T.StructType, T.MapType)):
+        raise ValueError(f"arrays of {inner.simpleString()} aren't supported")

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from raggedlake.operators import encoded, jagged, waveform
 from raggedlake.operators.table import Table
-from raggedlake.schema import RID, datatype, element_type, same_datatype, spark_type
+from raggedlake.schema import RID, check_plain, datatype, element_type, same_datatype, spark_type
 from raggedlake.sources.interop import from_columns
 
 DATA = [[1, 2], [3, 4, 5], [2], [4, 8, 9, 7], [5, 3, 1]]
@@ -66,7 +66,7 @@ def test_kernels(spark):
     fill = from_columns(spark, {"v": [[1, 2, 3], [4, 5, 6]], "n": [4, 3]})
     assert col(fill.df.select(RID, jagged.fill_beyond(F.col("v"), F.col("n"), T.LongType(), True).alias("f"))) == [[1, 2, 3, 0], [4, 5, 6]]
     with pytest.raises(ValueError):
-        jagged.check_plain(T.ArrayType(T.StructType([T.StructField("a", T.LongType())])))
+        check_plain(T.ArrayType(T.StructType([T.StructField("a", T.LongType())])))
 
 
 def test_waveforms(spark):
