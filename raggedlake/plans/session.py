@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
@@ -14,12 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch, where the session leaves Spark's default: rows of long texts else make batches of 64 MB.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20)
+
+
 def prepare_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where the session was started elsewhere."""
+    """Let Python workers import this package where the session was started elsewhere, and bound their batches.
+
+    On a cluster the package must be installed, or be given with --py-files; the driver's path helps where it is shared.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    key, default, bound = BATCH_BYTES
+    if spark.conf.get(key).rstrip("bB") in (str(default), "64m"):
+        spark.conf.set(key, str(bound))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,22 +49,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver ends."""
+    context = spark.sparkContext
+    found = f"{shared_dir(spark)}/raggedlake-{context.applicationId}"
+    if getattr(context, "_raggedlake_scratch", None) != found:
+        context._raggedlake_scratch = found
+        atexit.register(_delete, spark, found)
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark.sparkContext.__dict__.setdefault("_raggedlake_made", [])
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Delete what materialize() wrote for df; df can't be read after that."""
-    spark = df.sparkSession
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(d)
-        with contextlib.suppress(Exception):
-            path.getFileSystem(hadoop).delete(path, True)
+        _delete(df.sparkSession, d)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what materialize() writes meanwhile: for blocks that write their result."""
+    made = spark.sparkContext.__dict__.setdefault("_raggedlake_made", [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        while len(made) > before:
+            _delete(spark, made.pop())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,17 +99,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@contextlib.contextmanager
-def set_conf(spark: SparkSession, **pairs: str) -> Iterator[None]:
-    """Set SQL options for a while; underscores stand for dots."""
-    keys = {k.replace("_", "."): v for k, v in pairs.items()}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
