@@ -11,8 +11,9 @@ with their character offsets.
 Only known words have weights, so the words between two known ones are a power of one 2 x 2 matrix; a text costs
 one pass to find its words and a few products for each known word.
 
-The fit uses at most SAMPLE toxic and SAMPLE other labelled documents (those of the smallest hash of their id); of
-their runs without markers, one in twenty. At most KNOWN words near markers are features.
+The fit uses at most SAMPLE toxic and SAMPLE other labelled documents (those of the smallest hash of their id) of at most
+FIT_BYTES bytes each; of their runs without markers, one in twenty. At most KNOWN words near markers are features. Every
+document is scored, whatever its length.
 
 Defined results: a null or empty text, or one without words, has score BASE and no spans. Without both labels
 among the training rows every score is BASE. Null labels are ignored, repeated rows get the same score, and
@@ -36,6 +37,8 @@ from raggedlake.plans.session import prepare_workers, table
 
 SAMPLE, SEED, RUN, KNOWN, BASE = 2_000, 5, 24, 5_000, 0.01
 PREFIXES = range(4, 9)
+#: Bytes of a text that the fit uses at most.
+FIT_BYTES = 1 << 16
 #: A gap matrix is computed up to this many words; by then it no longer changes but for its scale.
 FAR = 256
 WORD, TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
@@ -91,38 +94,55 @@ class Field:
     def __init__(self, known: dict[str, int], weights: np.ndarray, start: np.ndarray, step: np.ndarray):
         self.known, self.weights, self.start, self.step = known, weights, np.exp(start), np.exp(step)
         self.emit = [np.exp(weights[0])]
-        self.kinds = Kinds(known, lambda have: self.emit.append(np.exp(self.weights[have].sum(0))))
+        self.odds = [float(self.emit[0][1] / self.emit[0][0])]
+        self.kinds = Kinds(known, self._add)
         plain = self.step * self.emit[0]  # into a word without known features
-        self.gaps = [np.eye(2)]
+        gaps = [np.eye(2)]
         for _ in range(FAR):
-            m = self.gaps[-1] @ plain
-            self.gaps.append(m / m.max())
+            m = gaps[-1] @ plain
+            gaps.append(m / m.max())
+        #: Over a gap and into the next known word; over the words after the last one.
+        self.over = [tuple((m @ self.step).ravel().tolist()) for m in gaps]
+        self.after = [float(m[1].sum() / m[0].sum()) for m in gaps]
+
+    def _add(self, have: list[int]) -> None:
+        self.emit.append(np.exp(self.weights[have].sum(0)))
+        self.odds.append(float(self.emit[-1][1] / self.emit[-1][0]))
 
     def __reduce__(self) -> tuple:
         return Field, (self.known, self.weights, np.log(self.start), np.log(self.step))
 
-    def marginals(self, at: list[int], kinds: list[int], n: int) -> np.ndarray:
-        """Toxic marginals of the known words of a chain of n words; at: their places, kinds: their positions."""
-        k = len(at)
-        fore, back = np.empty((k, 2)), np.empty((k, 2))
-        a, before = None, -1
-        for i in range(k):
-            gap = at[i] - before - 1
-            if a is None:
-                first = self.start * self.emit[kinds[i] if gap == 0 else 0]
-                a = first if gap == 0 else (first @ self.gaps[min(gap - 1, FAR)] @ self.step) * self.emit[kinds[i]]
+    def marginals(self, at: list[int], kinds: list[int], n: int) -> list[float]:
+        """Toxic marginals of the known words of a chain of n words; at: their places, kinds: their positions.
+
+        With two states the forward and the backward vectors matter up to their scale, so each is one number, the odds of
+        toxic to clean, and a step is a fraction of two sums.
+        """
+        over, odds = self.over, self.odds
+        a, before = float(self.start[1] / self.start[0]), -1
+        fore = []
+        for place, kind in zip(at, kinds):
+            if place == 0:
+                a *= odds[kind]
             else:
-                a = (a @ self.gaps[min(gap, FAR)] @ self.step) * self.emit[kinds[i]]
-            a = a / a.sum()
-            fore[i], before = a, at[i]
-        b = self.gaps[min(n - 1 - at[-1], FAR)] @ np.ones(2)
-        for i in range(k - 1, -1, -1):
-            back[i] = b / b.sum()
+                if before < 0:  # the words before the first known one: the chain's first, then a gap of place - 1
+                    a *= odds[0]
+                    before = 0
+                p, q, r, s = over[min(place - before - 1, FAR)]
+                a = (q + a * s) / (p + a * r) * odds[kind]
+            fore.append(a)
+            before = place
+        back = self.after[min(n - 1 - at[-1], FAR)]
+        out = []
+        for i in range(len(at) - 1, -1, -1):
+            both = fore[i] * back
+            out.append(both / (1 + both) if both < 1e300 else 1.0)
             if i:
-                gap = at[i] - at[i - 1] - 1
-                b = self.gaps[min(gap, FAR)] @ self.step @ (self.emit[kinds[i]] * back[i])
-        p = fore * back
-        return p[:, 1] / p.sum(1)
+                p, q, r, s = over[min(at[i] - at[i - 1] - 1, FAR)]
+                x = odds[kinds[i]] * back
+                back = (r + s * x) / (p + q * x)
+        out.reverse()
+        return out
 
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score and toxic spans (start, end, marginal) of a text."""
@@ -137,7 +157,7 @@ class Field:
             return BASE, []
         p = self.marginals(at, [kinds[i] for i in at], n)
         spans: list[tuple[int, int, float]] = []
-        hot = {at[i]: float(p[i]) for i in range(len(at)) if p[i] >= 0.5}
+        hot = {i: x for i, x in zip(at, p) if x >= 0.5}
         if hot:
             last = -2
             for i, m in enumerate(TOKEN.finditer(low)):
@@ -147,7 +167,7 @@ class Field:
                     else:
                         spans.append((m.start(), m.end(), hot[i]))
                     last = i
-        return max(BASE, float(p.max())), spans
+        return max(BASE, *p), spans
 
 
 def markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
@@ -261,6 +281,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int =
     known = labels.select(F.col(id_col), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(id_col, parts, part))
     picks = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample) for y in (0, 1)]  # bounded by 2 * sample rows
     train_rows = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(picks[0].unionByName(picks[1])), id_col)
+    train_rows = train_rows.where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= FIT_BYTES)
     rows = train_rows.select("_t", "_y", F.xxhash64(id_col).alias("h")).orderBy("h", "_y", "_t").limit(4 * sample).collect()
     field = spark.sparkContext.broadcast(fit([(r._t or "", r._y) for r in rows]))
 
