@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raggedlake.llm.text import column, raw_texts, slices
@@ -145,6 +145,11 @@ class Shard:
         for k in range(8):
             word = (word << np.uint64(8)) | pad[k : k + self.n + length]
         self.word = word
+        self.left = np.zeros(self.n, np.int64)  # bytes from each place to its run's end; separators have 0
+        total = int(self.size.sum())
+        begin = np.cumsum(self.size) - self.size
+        inside = np.arange(total) + np.repeat(self.off - begin, self.size)
+        self.left[inside] = np.repeat(self.off + self.size, self.size) - inside
 
     def judged(self) -> np.ndarray:
         """The places of all windows, run after run."""
@@ -174,6 +179,8 @@ class Shard:
                 part = sum((diff < np.uint64(1 << b)).astype(np.int64) for b in range(56, 0, -8))  # equal leading bytes
                 k[go] += np.where(same, 8, part)
                 go = go[same & (k[go] < self.length)]
+            # the separators' zero bytes are no part of a text: a common prefix ends where q's run does
+            k = np.where(q >= 0, np.minimum(k, self.left[q]), 0)
             common[:live] = np.minimum(k, self.length)
             full = k >= self.length
             hit[p[full]] = True
@@ -184,19 +191,23 @@ class Shard:
         """For each window of the other shard whether it is one of this one: binary search in the suffix array."""
         at = other.judged()
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n)
-        steps = range(0, self.length - self.length % 8, 8)
-        rest = self.length % 8
-        mask = ~np.uint64((1 << (8 * (8 - rest))) - 1) if rest else np.uint64(0)
+        first = ~np.array([(1 << (64 - 8 * w)) - 1 for w in range(9)], np.uint64)  # masks of the first 0..8 bytes
 
         def compare(places: np.ndarray, mine: np.ndarray) -> np.ndarray:
+            """-1, 0 or 1: whether the suffix at mine is below, begins with or is above the other's window at places.
+
+            A suffix whose run ends within the window, all bytes being equal until then, is below it.
+            """
             sign = np.zeros(len(mine), np.int8)
             open_ = np.arange(len(mine))
-            for k in [*steps, *[self.length - rest] * bool(rest)]:
-                a, b = self.word[mine[open_] + k], other.word[places[open_] + k]
-                if k == self.length - rest:
-                    a, b = a & mask, b & mask
-                sign[open_] = (a > b).astype(np.int8) - (a < b)
-                open_ = open_[a == b]
+            for k in range(0, self.length, 8):
+                take = min(8, self.length - k)
+                left = self.left[mine[open_]] - k
+                mask = first[np.clip(left, 0, take)]
+                a, b = self.word[mine[open_] + k] & mask, other.word[places[open_] + k] & mask
+                short = (a == b) & (left < take)
+                sign[open_] = np.where(short, -1, (a > b).astype(np.int8) - (a < b))
+                open_ = open_[(a == b) & ~short]
                 if not len(open_):
                     break
             return sign
@@ -210,19 +221,8 @@ class Shard:
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
         found = np.zeros(len(at), bool)
-        # a suffix that a run's end cuts short can tie with a window's bytes: look at the few that follow
-        inside = np.zeros(self.n, bool)
-        inside[self.judged()] = True
         open_ = np.flatnonzero(lo < self.n)
-        place = lo.copy()
-        while len(open_):
-            mine = self.sa[place[open_]]
-            tie = compare(at[open_], mine) == 0
-            ok = tie & inside[mine]
-            found[open_[ok]] = True
-            open_ = open_[tie & ~ok]
-            place[open_] += 1
-            open_ = open_[place[open_] < self.n]
+        found[open_] = compare(at[open_], self.sa[lo[open_]]) == 0
         return found
 
 
@@ -324,13 +324,9 @@ def merged(pairs: list, limit: int) -> list[tuple[int, int]]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """id (a stand-in for null), tk and text, and the columns carry as one."""
+    """id (with a stand-in for null: rows with the same text lose the same bytes), tk, text, own (the id as it is), and the columns carry as one."""
     more = [F.struct(*carry).alias("carry")] if carry else []
-    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-
-
-def _real_id(c: Column) -> Column:
-    return F.when(c != NO_ID, c)
+    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("own"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -352,7 +348,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
                 keep = b"".join([*keep, t[at:]])
                 rows.append((len(t), len(t) - len(keep), len(gone), hashlib.sha256(keep).hexdigest(), keep, gone))
             n, removed, count, sha, keep, gone = zip(*rows)
-            cols = [column(b, "id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)]
+            cols = [column(b, "own"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_bytes:
                 cols += [pa.array(keep, pa.binary()), pa.array([[{"start": s, "end": e} for s, e in g] for g in gone], span)]
@@ -366,7 +362,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
     if carry:
         schema += f", carry {plain.schema['carry'].dataType.simpleString()}"
     out = plain.join(cut, ["id", "tk"], "left").mapInArrow(run, schema)
-    return out.select(_real_id(F.col("id")).alias(id_col), *out.columns[1:])
+    return out.withColumnRenamed("id", id_col)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
