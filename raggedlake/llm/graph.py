@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from raggedlake.plans.session import drop_materialized, materialize
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every node in edges (a, b): label is the smallest id of its component.
 
-    Each step joins edges to a node's smallest neighbour by equality; hubs are split by adaptive execution.
+    Rounds grow with the logarithm of the longest path; each is written, and the one before deleted. Each step joins edges to a node's smallest neighbour by equality; hubs are split by adaptive execution.
     Self-loops and repeated edges do no harm; null ends are dropped; no edges give an empty result.
     """
     now = edges.select("a", "b").where("a <> b").distinct()
     now = materialize(now, "edges")
     before = None
-    for _ in range(rounds):
+    while True:  # until a round changes nothing
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
