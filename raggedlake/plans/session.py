@@ -18,6 +18,9 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of an Arrow batch, where the session leaves Spark's default: rows of long texts else make batches of 64 MB.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20)
 
+#: Let workers, which live on between stages, give large freed blocks back instead of keeping them (glibc's and Arrow's settings).
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def prepare_workers(spark: SparkSession) -> None:
     """Let Python workers import this package where the session was started elsewhere, and bound their batches.
@@ -28,6 +31,8 @@ def prepare_workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
     key, default, bound = BATCH_BYTES
     if spark.conf.get(key).rstrip("bB") in (str(default), "64m"):
         spark.conf.set(key, str(bound))
