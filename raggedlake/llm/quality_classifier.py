@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raggedlake.llm.text_stats import text_stats
+from raggedlake.llm.text_stats import LONGS, stats_of, text_stats
 from raggedlake.plans.session import materialize, table
 
 SAMPLE, PAIRS, SEED, PENALTY = 20_000, 40_000, 7, 1e-3
@@ -72,11 +72,15 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float =
     return w, float((s[k - 1] + s[k]) / 2)
 
 
-def fit(feats: DataFrame, labels: DataFrame, parts: int, part: int, sample: int, id_col: str, label_col: str) -> tuple[np.ndarray, float]:
-    """Weights and cut from a table of ids and FEATURES and the labels that may be used."""
+def known_labels(labels: DataFrame, parts: int, part: int, sample: int, id_col: str, label_col: str) -> DataFrame:
+    """(id, _y): the labels that may be used, at most sample of them."""
     known = labels.select(F.col(id_col), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out(id_col, parts, part))
-    known = known.orderBy(F.xxhash64(id_col), "_y").limit(sample)  # bounded by sample
-    rows = feats.join(F.broadcast(known), id_col).orderBy(id_col, "_y").limit(2 * sample).toPandas()
+    return known.orderBy(F.xxhash64(id_col), "_y").limit(sample)
+
+
+def fit(feats: DataFrame, sample: int, id_col: str) -> tuple[np.ndarray, float]:
+    """Weights and cut from a table of ids, _y and FEATURES."""
+    rows = feats.orderBy(id_col, "_y", *FEATURES).limit(2 * sample).toPandas()
     return fit_pairs(rows[list(FEATURES)].to_numpy(float).reshape(len(rows), len(FEATURES)), rows["_y"].to_numpy())
 
 
@@ -88,25 +92,29 @@ def score(w: np.ndarray, cut: float, of=F.col) -> Column:
     return 1 / (1 + F.exp(-s))
 
 
-def features_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = text_stats(docs, [id_col], text_col).select(F.col(id_col), *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()))
-    return materialize(found, "features")
+def features_of(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    return text_stats(docs, keep, text_col).select(*keep, *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per document: id, held_out, score, predicted. Labels of rows with crc32(id) mod parts = part aren't used."""
-    feats = features_of(docs, id_col, text_col)
-    model = fit(feats, labels, parts, part, sample, id_col, label_col)
+    feats = materialize(features_of(docs, [id_col], text_col), "features")
+    model = fit(feats.join(F.broadcast(known_labels(labels, parts, part, sample, id_col, label_col)), id_col), sample, id_col)
     out = feats.select(F.col(id_col), F.coalesce(held_out(id_col, parts, part), F.lit(False)).alias("held_out"), score(*model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs whose score is 0.5 or more. The texts are read twice and never shuffled."""
-    model = fit(features_of(docs, id_col, text_col), labels, parts, part, sample, id_col, label_col)
-    rows = docs.withColumn("_row", F.struct(*docs.columns))
-    found = text_stats(rows, ["_row"], text_col)
-    return found.where(score(*model, of=lambda k: F.expr(FEATURES[k]).cast("double")) >= 0.5).select("_row.*")
+    """The rows of docs whose score is 0.5 or more, with all their columns.
+
+    The texts are read twice, first for the labelled sample alone, and neither shuffled nor written.
+    """
+    known = known_labels(labels, parts, part, sample, id_col, label_col)
+    sampled = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(known), id_col)
+    model = fit(features_of(sampled, [id_col, "_y"], "_text"), sample, id_col)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), stats_of(F.col(text_col)).alias("_stats"))
+    rows = rows.select("_row", *(F.col(f"_stats.{c}").alias(c) for c in LONGS))
+    return rows.where(score(*model, of=lambda k: F.expr(FEATURES[k]).cast("double")) >= 0.5).select("_row.*")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

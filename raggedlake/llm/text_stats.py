@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raggedlake.llm.text import column, raw_texts, slices
+from raggedlake.llm.text import raw_texts, slices
 from raggedlake.plans.session import prepare_workers
 
 SYMBOLS = b"#*$%&|<>"
@@ -87,17 +85,26 @@ def stats(raw: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
-def text_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of docs and the counts LONGS of text_col; a null text has zero words and bytes."""
-    prepare_workers(docs.sparkSession)
-    names = [f"k{i}" for i in range(len(keep))]
+def stats_of(text: Column) -> Column:
+    """A struct of the counts LONGS of a text; of a null text, zeros.
+
+    Only the text goes to Python, in batches bounded by bytes, and only counts come back; a row's other columns stay
+    where they are. Marked as not deterministic so that a filter on the counts doesn't compute them twice.
+    """
+    kind = pa.struct([(c, pa.int64()) for c in LONGS])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            got = stats(raw_texts(b))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), *(pa.array(got[c], pa.int64()) for c in LONGS)], [*names, *LONGS])
+    def run(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        parts = [stats(raw_texts(b)) for b in slices([batch])]
+        cols = [np.concatenate([np.empty(0, np.int64), *(p[c] for p in parts)]) for c in LONGS]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(kind))
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
-    schema = ", ".join([*(f"{a} {k}" for a, k in zip(names, kinds)), *(f"{c} long" for c in LONGS)])
-    out = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, names)), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return out.select(*(F.col(a).alias(c) for c, a in zip(keep, names)), *LONGS)
+    return F.arrow_udf(run, returnType=", ".join(f"{c} long" for c in LONGS)).asNondeterministic()(text)
+
+
+def text_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep of docs and the counts LONGS of text_col, which go before columns of the same name."""
+    prepare_workers(docs.sparkSession)
+    names = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(a) for c, a in zip(keep, names)), stats_of(F.col(text_col)).alias("_stats"))
+    return rows.select(*(F.col(a).alias(c) for c, a in zip(keep, names) if c not in LONGS), *(F.col(f"_stats.{c}").alias(c) for c in LONGS))
