@@ -43,9 +43,9 @@ from raggedlake.llm.text import column, raw_texts, slices
 from raggedlake.plans.session import materialize, prepare_workers, table
 
 #: Signatures that a worker gathers before it pairs and sends them.
-BATCH = 1_000_000
+BATCH = 500_000
 #: n-grams that one search task holds; documents that share one bucket of signatures, about.
-TASK_GRAMS, BUCKET_DOCS = 3_000_000, 2_000
+TASK_GRAMS, BUCKET_DOCS = 2_000_000, 1_000
 #: Documents whose bitmaps one task compares at a time.
 TASK_DOCS = 6_000
 #: So many documents with one signature are all paired; more are paired with the smallest id only.
