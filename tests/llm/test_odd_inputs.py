@@ -1,6 +1,7 @@
 """Repeated rows, clashing names, nulls, empty tables and long texts for the operators on single documents; what fits and limits are held against."""
 
 import math
+import os
 import re
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from raggedlake.llm import byte_bpe, packing, quality_classifier, quality_rules, token_counts, toxicity  # noqa: E402
+from raggedlake.llm import byte_bpe, packing, quality_classifier, quality_rules, queries, token_counts, toxicity  # noqa: E402
 
 #: Names that the operators use for their own columns and results.
 FIELDS = "doc_id long, text string, lang string, source string, id long, n_words string, kept string, score string, _row int, _text int, _stats int, _g1 int, k0 int"
@@ -142,3 +143,15 @@ def test_bradley_terry_weights_are_the_optimum():
         assert abs(loss(w + e) - loss(w - e)) / 2e-5 < 1e-5
     s = np.sort(x @ w)
     assert (s < cut).sum() == len(bad)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_rules_equal_their_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    duckdb.sql(f"create or replace view documents as select * from '{d}/documents.parquet'")
+    found = duckdb.sql(queries.ORACLE_SQL["op4_quality_rules"])
+    want = {r[0]: dict(zip(found.columns, r)) for r in found.fetchall()}
+    got = {r["doc_id"]: r.asDict() for r in queries.QUERIES["op4_quality_rules"](spark, d).collect()}
+    assert got == want and {r["kept"] for r in got.values()} == {True, False}
