@@ -10,7 +10,9 @@ from raggedlake.schema import RID
 
 
 def with_row_id(df: DataFrame, order_by: list[str], partitions: int | None = None) -> DataFrame:
-    """df with the column _rid: 0, 1, 2 ... in the order of order_by (ties by all other columns).
+    """df with the column _rid: 0, 1, 2 ... in the order of order_by (ties by a hash of the other columns, then by these).
+
+    The hash belongs to the ranges too, so rows with one value of order_by don't have to meet in one task.
 
     Rows are range-partitioned and sorted, numbered inside their partitions and written once; the partitions'
     row counts (one number a partition) then give the offsets. The written order is final, so a lost executor
@@ -18,9 +20,10 @@ def with_row_id(df: DataFrame, order_by: list[str], partitions: int | None = Non
     """
     # sorting takes columns of any orderable type; the rest can't break ties
     rest = [f.name for f in df.schema.fields if f.name not in (*order_by, RID) and "map<" not in f.dataType.simpleString()]
-    keys = [F.col(f"`{c}`") for c in (*order_by, *rest)]
+    ranges = [F.col(f"`{c}`") for c in order_by] + ([F.xxhash64(*[F.col(f"`{c}`") for c in rest])] if rest else [])
+    keys = [*ranges, *[F.col(f"`{c}`") for c in rest]]
     n = partitions or shuffle_partitions(df.sparkSession)
-    rows = df.drop(RID).repartitionByRange(n, *[F.col(f"`{c}`") for c in order_by]).sortWithinPartitions(*keys)
+    rows = df.drop(RID).repartitionByRange(n, *ranges).sortWithinPartitions(*keys)
     rows = rows.withColumn("_p", F.spark_partition_id())
     rows = rows.withColumn("_k", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
     rows = materialize(rows, "rowid")
