@@ -1,12 +1,18 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A worker gathers the distinct pieces (matches of the splitting pattern) of its texts; after each chunk of text a row
-carries those that are new, and the texts keep positions among all so far. transform() then encodes each distinct piece once: aggregate() folds the ranked merges over
-the piece's bytes, each step joining the neighbours of the lowest rank, the leftmost of equals, until no
-neighbours have a rank. The ranks are a literal: an array of small maps, picked by a checksum of the key, as a
-look-up in one large Spark map would read it from end to end. Decoding looks the ids up in a literal array and
-concatenates the pieces' bytes. Nothing is shuffled. Bytes stand as characters 0..255 of a string inside the
-expressions, as map keys in JSON literals can't be binary.
+A piece (a match of the splitting pattern) is an array of byte symbols; aggregate() folds the ranked merges over it, each
+step joining the neighbours of the lowest rank, the leftmost of equals, until no neighbours have a rank. A symbol is
+its token's rank. The rank map is a literal: pair (a, b) lies in slot shift[a] + b of one array, which holds a and the
+pair's rank (a displaced table; a look-up in a Spark map would read it from end to end). Decoding looks the ids up in a
+literal array and concatenates the pieces' bytes.
+
+Each distinct piece is folded once where that is worth a look-up: pieces are counted over the whole table (one row a
+task and piece that its texts hold twice or more), those that most tasks meet, at most COMMON, are folded once and broadcast, and a
+task folds the others that its own texts hold, each once. Which pieces are common changes the cost alone, never a result. Texts are
+read twice and never shuffled. A worker then puts the texts' ids together from those of their pieces.
+
+A fold copies the array at each step, so a piece of more than LONG bytes (a word of base64, say) is merged by the worker
+with a heap instead: the same merges in the same order, in n log n steps.
 
 Defined results: a null text is empty: no ids. Rows may repeat. Columns other than the id and the text are ignored.
 """
@@ -15,11 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
-import zlib
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +33,17 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raggedlake.llm.text import CACHE_WORDS, WordIds, column, slices, spaced_words, texts
-from raggedlake.plans.session import prepare_workers, table
+from raggedlake.llm.text import WordIds, column, slices, spaced_words, texts
+from raggedlake.plans.session import drop_materialized, materialize, prepare_workers, table
 
-#: Text bytes after which a row is sent; pieces that a task remembers before it starts again.
-CHUNK, PIECES = 2 << 20, 1_000_000
-BUCKETS = 1 << 16
-NO_RANK = 2**31 - 1
+#: Text bytes after which a row is sent; pieces that a task remembers before it starts again; bytes of a piece that is folded.
+CHUNK, PIECES, LONG = 2 << 20, 300_000, 256
+#: Pieces whose ids are broadcast, at most.
+COMMON = 400_000
+#: Bits of a piece's places, and of a rank, in the fold's keys.
+PLACE, RANK = 16, 20
+FREE = ((1 << 22) - 1) << RANK
+NOWHERE = -(1 << 31)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,85 +52,224 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def rank_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """(a, b, rank of the token that a and b make), for each way to cut each token into two tokens."""
+    found = []
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                found.append((a, b, rank))
+    return np.array(sorted(found), np.int64).reshape(-1, 3)
+
+
+def displaced(pairs: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """shift, and slots of a << RANK | rank (FREE: none), with pair (a, b) in slot shift[a] + b and no two in one slot."""
+    shift = np.zeros(size, np.int64)
+    room = max(1 << 12, 4 * len(pairs))
+    slots = np.full(room + size, FREE, np.int64)
+    left, first, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+    rng = np.random.default_rng(seed)
+    for g in np.argsort(-count, kind="stable"):
+        mine = pairs[first[g] : first[g] + count[g]]
+        while True:
+            tries = rng.integers(0, room, 16 if count[g] < 50 else 1)
+            fits = (slots[tries[:, None] + mine[:, 1]] == FREE).all(1)
+            if fits.any():
+                break
+        shift[left[g]] = at = tries[int(np.argmax(fits))]
+        slots[at + mine[:, 1]] = (mine[:, 0] << RANK) | mine[:, 2]
+    return shift, slots
+
+
 @lru_cache(maxsize=2)
-def _literals(path: str) -> tuple[str, str]:
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def _literals(path: str) -> dict[str, str]:
     ranks = read_ranks(path)
-    words = [""] * (max(ranks.values()) + 1)
+    size = max(ranks.values()) + 1
+    shift, slots = displaced(rank_pairs(ranks), size)
+    words = [b""] * size
     for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        words[rank] = key
-    return json.dumps(buckets), json.dumps(words)
+        words[rank] = token
+    write = lambda x: ",".join(map(str, x))
+    return {"shift": write(shift.tolist()), "slots": write(slots.tolist()), "bytes": write(ranks[bytes([i])] for i in range(256)), "words": write(w.hex() for w in words)}
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _array(text: str, kind: str) -> Column:
+    return F.split(F.lit(text), ",").cast(f"array<{kind}>")  # folded to a literal by the optimizer
 
 
-def encode_pieces(pieces: Column, path: str) -> Column:
-    """array<string> of pieces (bytes as characters) to array<array<int>> of ids."""
-    ranks = F.from_json(F.lit(_literals(path)[0]), "array<map<string,int>>")
+def _let(value: Column, kind: str, body) -> Column:
+    """body(value), of type kind, with value computed once."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
-    def all_of(table_: Column) -> Column:
-        def rank(key: Column) -> Column:
-            return F.try_element_at(F.get(table_, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
 
-        def step(state: Column, _: Column) -> Column:
-            parts = state["parts"]
-            pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.coalesce(rank(F.concat(F.get(parts, k - 1), F.get(parts, k))), F.lit(NO_RANK)))
+def encode_pieces(pieces: Column, path: str) -> Column:
+    """array<string> of pieces (bytes as characters 0..255) to array<array<int>> of ids."""
+    lit = _literals(path)
+    tables = F.struct(_array(lit["shift"], "int").alias("shift"), _array(lit["slots"], "bigint").alias("slots"), _array(lit["bytes"], "bigint").alias("bytes"))
 
-            def join(found: Column) -> Column:
-                def at(k: Column) -> Column:
-                    both = F.concat(F.get(parts, k - 1), F.get(parts, k))
-                    return F.concat(F.slice(parts, F.lit(1), k - 1), F.array(both), F.slice(parts, k + 2, F.size(parts)))
+    def all_of(t: Column) -> Column:
+        def key(a: Column, b: Column, k: Column) -> Column:
+            """rank << PLACE | k; where the slot is free or another pair's, bits above RANK + PLACE are set."""
+            found = F.get(t["slots"], F.get(t["shift"], a.cast("int")) + b.cast("int"))
+            return F.shiftleft(found.bitwiseXOR(F.shiftleft(a, RANK)), PLACE).bitwiseOR(k)
 
-                low = F.array_min(found)
-                more = low < NO_RANK
-                after = F.when(more, _let(F.array_position(found, low).cast("int"), at)).otherwise(parts)
-                return F.struct(after.alias("parts"), (more & (F.size(parts) > 2)).alias("more"))
+        def step(parts: Column, _: Column) -> Column:
+            def join(low: Column) -> Column:
+                k = low.bitwiseAND((1 << PLACE) - 1).cast("int")
+                merged = F.concat(F.slice(parts, F.lit(1), k), F.array(F.shiftright(low, PLACE)), F.slice(parts, k + 3, F.size(parts)))
+                return F.when(low < (1 << (RANK + PLACE)), merged).otherwise(parts)
 
-            return F.when(state["more"], _let(pairs, join)).otherwise(state)
+            keys = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, k: key(F.get(parts, k), b, k))
+            return F.when(F.size(parts) > 1, _let(F.array_min(keys), "array<bigint>", join)).otherwise(parts)
 
         def one(piece: Column) -> Column:
-            size = F.length(piece)
-            parts = F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(piece, k, 1))
-            start = F.struct(parts.alias("parts"), (size > 1).alias("more"))
-            folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: F.transform(s["parts"], rank))
-            return _let(rank(piece), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+            parts = F.transform(F.split(piece, ""), lambda c: F.get(t["bytes"], F.ascii(c)))
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1))), parts, step)
 
         return F.transform(pieces, one)
 
-    return _let(ranks, all_of)
+    return _let(tables, "array<array<bigint>>", all_of).cast("array<array<int>>")
 
 
 def decode_pieces(ids: Column, path: str) -> Column:
     """array<array<int>> of ids to array<binary>."""
-    words = F.from_json(F.lit(_literals(path)[1]), "array<string>")
-    return _let(words, lambda t: F.transform(ids, lambda one: F.encode(F.aggregate(one, F.lit(""), lambda s, i: F.concat(s, F.get(t, i))), "ISO-8859-1")))
+    words = F.split(F.lit(_literals(path)["words"]), ",")
+    return _let(words, "array<binary>", lambda t: F.transform(ids, lambda one: F.unhex(F.array_join(F.transform(one, lambda i: F.get(t, i)), ""))))
+
+
+def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long piece: always the pair of the lowest rank, the leftmost of equals, in n log n steps."""
+    n = len(piece)
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    at = lambda i, j: ranks.get(piece[i : end[j]])
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := at(i, i + 1)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, stop = heapq.heappop(heap)  # parts i..j and j..stop, if they still stand so
+        if not alive[i] or end[i] != j or j >= n or not alive[j] or end[j] != stop:
+            continue
+        end[i], alive[j] = stop, False
+        if stop < n:
+            before[stop] = i
+            if (r := at(i, stop)) is not None:
+                heapq.heappush(heap, (r, i, stop, end[stop]))
+        if (h := before[i]) >= 0 and (r := at(h, i)) is not None:
+            heapq.heappush(heap, (r, h, i, stop))
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def _letters(piece: str) -> str:
+    """A piece's UTF-8 bytes as characters 0..255."""
+    return piece if piece.isascii() else piece.encode().decode("latin-1")
+
+
+def common_pieces(docs: DataFrame, pattern: str, most: int = COMMON) -> DataFrame | None:
+    """(piece): those in most tasks' texts, no more than most of them; None if no piece is in two.
+
+    Words with a space at each end stand for themselves here; where white space is otherwise, what is missed is only folded more often. A count's bucket grows by a quarter power of two, so the threshold comes from a histogram of fixed size.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = regex.compile(pattern)
+        words: Counter[str] = Counter()
 
-def chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """(ids, places, sizes, first, pieces): a chunk's row ids, its texts' pieces as positions, how many each has, the position
-    of the first new piece (0: positions begin anew), and the new pieces. Rows of one task belong together, in order."""
+        def found() -> pa.RecordBatch:
+            pieces = {p for w, n in words.items() if n > 1 for p in match.findall(" " + w)}
+            return pa.RecordBatch.from_arrays([pa.array([_letters(p) for p in pieces if len(p) <= LONG // 4], pa.string())], ["piece"])
+
+        for b in slices(batches):
+            for t in texts(b):
+                words.update(t.split(" "))
+            if len(words) > 2 * PIECES:
+                yield found()
+                words.clear()
+        if words:
+            yield found()
+
+    counted = docs.select("text").mapInArrow(run, "piece string").groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = materialize(counted.withColumn("bucket", F.floor(F.log2("n") * 4).cast("int")), "pieces")
+    left, least = most, None
+    for r in sorted(counted.groupBy("bucket").count().collect(), key=lambda r: -r["bucket"]):  # at most 4 * 63 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["bucket"]
+    if least is None:
+        drop_materialized(counted)
+        return None
+    return counted.where(F.col("bucket") >= least).select("piece")
+
+
+def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], np.ndarray, np.ndarray, list[bytes]]:
+    """Pieces, how many ids each has, these one after the other, and their bytes; at most COMMON pieces."""
+    if pieces is None:
+        return [], np.empty(0, np.int64), np.empty(0, np.int32), []
+    rows = pieces.groupBy(F.spark_partition_id(), F.pmod(F.xxhash64("piece"), F.lit(64))).agg(F.collect_list("piece").alias("pieces"))
+    rows = rows.select("pieces", encode_pieces(F.col("pieces"), path).alias("enc")).toArrow()
+    drop_materialized(pieces)
+    rows = rows.combine_chunks()
+    names = [p for c in rows["pieces"].chunks for p in c.flatten().to_pylist()]
+    enc = [c.flatten() for c in rows["enc"].chunks]
+    size = np.concatenate([np.empty(0, np.int64), *(e.value_lengths().to_numpy().astype(np.int64) for e in enc)])
+    flat = np.concatenate([np.empty(0, np.int32), *(e.flatten().to_numpy() for e in enc)])
+    raw = [p.encode("latin-1") for p in names]
+    return [r.decode() for r in raw], size, flat, raw
+
+
+def chunks(docs: DataFrame, pattern: str, shared, ranks, chunk: int = CHUNK) -> DataFrame:
+    """(ids, places, sizes, begin, pieces, long): a chunk's row ids, its texts' pieces as positions, how many each has, whether
+    positions begin anew, the new pieces to fold, and the ids of the new long ones.
+
+    A position from 0 is a common piece, then those to fold follow; from -1 downward are the long ones. Rows of one
+    task belong together, in order.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = regex.compile(pattern)
-        known: dict[str, int] = {}
-
-        def place(piece: str) -> int:
-            return known.setdefault(piece, len(known))
-
-        words = WordIds(lambda new: [[place(p) for p in match.findall(" " + w)] for w in new], 1 << 40)
-        ids, places, sizes, held, sent = [], [], [], 0, 0
+        names = shared.value[0]
+        index = dict(zip(names, range(len(names))))
+        new, new_big = [], []
+        known = big = 0  # pieces besides the common ones
+
+        def place(pieces: list[str]) -> np.ndarray:
+            """Positions of pieces; those not met before get one."""
+            nonlocal known, big
+            at = np.fromiter(map(index.get, pieces, repeat(NOWHERE)), np.int32, len(pieces))
+            miss = np.flatnonzero(at == NOWHERE)
+            if len(miss):
+                missed = [pieces[i] for i in miss.tolist()]
+                for p in dict.fromkeys(missed):
+                    if len(p) > LONG // 4 and len(raw := p.encode()) > LONG:
+                        big += 1
+                        index[p] = -big
+                        new_big.append(heap_merge(raw, ranks.value))
+                    else:
+                        index[p] = len(names) + known
+                        known += 1
+                        new.append(_letters(p))
+                at[miss] = np.fromiter(map(index.__getitem__, missed), np.int32, len(missed))
+            return at
+
+        def encode(got: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [match.findall(" " + w) for w in got]
+            return place(list(chain.from_iterable(found))), np.fromiter(map(len, found), np.int64, len(found))
+
+        words = WordIds(encode, 1 << 40)
+        ids, places, sizes, held, begin = [], [], [], 0, True
         id_type = None
 
         def flush() -> pa.RecordBatch:
-            pieces = pa.array([[p.encode().decode("latin-1") for p in islice(known, sent, None)]], pa.list_(pa.string()))
-            cols = [pa.array([ids], pa.list_(id_type)), pa.array([np.concatenate(places).astype("<i4").tobytes()]), pa.array([np.array(sizes, "<i8").tobytes()]), pa.array([sent], pa.int32()), pieces]
-            return pa.RecordBatch.from_arrays(cols, ["ids", "places", "sizes", "first", "pieces"])
+            cols = [
+                pa.array([ids], pa.list_(id_type)),
+                pa.array([np.concatenate(places).astype("<i4").tobytes()]),
+                pa.array([np.array(sizes, "<i8").tobytes()]),
+                pa.array([begin]),
+                pa.array([new], pa.list_(pa.string())),
+                pa.array([new_big], pa.list_(pa.list_(pa.int32()))),
+            ]
+            return pa.RecordBatch.from_arrays(cols, ["ids", "places", "sizes", "begin", "pieces", "long"])
 
         for b in slices(batches):
             id_type = column(b, "id").type
@@ -130,22 +279,62 @@ def chunks(docs: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
             flat, ends = words.gather(at), np.concatenate([[0], np.cumsum(words.lens[at])])
             cuts = ends[np.cumsum([0, *(len(rest) for _, rest in split)])]
             for (head, _), s, e in zip(split, cuts, cuts[1:]):
-                first = np.array([place(p) for p in match.findall(head)], np.int32)
-                places.append(np.concatenate([first, flat[s:e]]))
+                places.append(np.concatenate([place(match.findall(head)), flat[s:e]]))
                 sizes.append(len(places[-1]))
             ids += column(b, "id").to_pylist()
             held += sum(map(len, got))
             if held >= chunk:
                 yield flush()
-                ids, places, sizes, held, sent = [], [], [], 0, len(known)
-                if len(known) > PIECES or len(words.index) > CACHE_WORDS:
-                    known.clear()
+                ids, places, sizes, held, begin = [], [], [], 0, False
+                new.clear()
+                new_big.clear()
+                if known > PIECES or big > 1_000:
+                    index = dict(zip(names, range(len(names))))
+                    known = big = 0
+                    words.clear()
+                    begin = True
+                elif len(words.index) > 2 * PIECES:
                     words.clear()
-                    sent = 0
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, first int, pieces array<string>")
+    return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, begin boolean, pieces array<string>, long array<array<int>>")
+
+
+class Pieces:
+    """The ids and bytes of a task's pieces so far, by position."""
+
+    def __init__(self, size: np.ndarray, flat: np.ndarray, back: list[bytes]):
+        self.size, self.flat, self.back = size, flat, back[:]
+        self.offs = np.cumsum(size) - size
+        self.long: list[tuple[np.ndarray, bytes]] = []
+
+    def add(self, enc: pa.ListArray, back: list[bytes], n_long: int) -> None:
+        """Further pieces; the last n_long of them are the long ones."""
+        got = enc.value_lengths().to_numpy().astype(np.int64)
+        flat = enc.flatten().to_numpy()
+        n = len(got) - n_long
+        ends = np.cumsum(got)
+        short = int(ends[n - 1]) if n else 0
+        self.long += [(flat[e - c : e], w) for e, c, w in zip(ends[n:], got[n:], back[n:])]
+        self.offs = np.concatenate([self.offs, len(self.flat) + ends[:n] - got[:n]])
+        self.size, self.flat = np.concatenate([self.size, got[:n]]), np.concatenate([self.flat, flat[:short]])
+        self.back += back[:n]
+
+    def text(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Ids and bytes of the pieces at these positions."""
+        if self.long and len(at) and at.min() < 0:
+            cut, start, parts = np.flatnonzero(at < 0), 0, []
+            for c in [*cut.tolist(), len(at)]:
+                parts.append(self.text(at[start:c]))
+                if c < len(at):
+                    parts.append(self.long[-1 - int(at[c])])
+                start = c + 1
+            return np.concatenate([p for p, _ in parts]), b"".join(w for _, w in parts)
+        lens = self.size[at]
+        total = int(lens.sum())
+        got = self.flat[np.arange(total) + np.repeat(self.offs[at] - (np.cumsum(lens) - lens), lens)]
+        return got, b"".join(map(self.back.__getitem__, at.tolist()))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -153,22 +342,21 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     prepare_workers(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), pattern)
-    rows = rows.withColumn("enc", encode_pieces(F.col("pieces"), path)).drop("pieces")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = spark.sparkContext.broadcast(fold_common(common_pieces(plain, pattern), path))
+    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    rows = chunks(plain, pattern, shared, ranks)
+    rows = rows.select("ids", "places", "sizes", "begin", F.size("long").alias("n_long"), F.concat(encode_pieces(F.col("pieces"), path), F.col("long")).alias("enc"))
     rows = rows.withColumn("dec", decode_pieces(F.col("enc"), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, size, dec = np.empty(0, np.int32), np.empty(0, np.int64), []
+        have = None
         for b in batches:
             for r in range(b.num_rows):
                 one = b.slice(r, 1)
-                enc = column(one, "enc").flatten()
-                if column(one, "first")[0].as_py() == 0:
-                    flat, size, dec = np.empty(0, np.int32), np.empty(0, np.int64), []
-                flat = np.concatenate([flat, enc.flatten().to_numpy()])
-                size = np.concatenate([size, enc.value_lengths().to_numpy().astype(np.int64)])
-                offs = np.cumsum(size) - size
-                dec += column(one, "dec").flatten().to_pylist()
+                if have is None or column(one, "begin")[0].as_py():
+                    have = Pieces(*shared.value[1:])
+                have.add(column(one, "enc").flatten(), column(one, "dec").flatten().to_pylist(), column(one, "n_long")[0].as_py())
                 places = np.frombuffer(column(one, "places")[0].as_py(), "<i4")
                 sizes = np.frombuffer(column(one, "sizes")[0].as_py(), "<i8")
                 ids = column(one, "ids").flatten()
@@ -176,13 +364,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 for s in range(0, len(sizes), step):
                     begin, out = int(sizes[:s].sum()), []
                     for n in sizes[s : s + step].tolist():
-                        at = places[begin : begin + n]
+                        got, back = have.text(places[begin : begin + n])
                         begin += n
-                        lens = size[at]
-                        total = int(lens.sum())
-                        got = flat[np.arange(total) + np.repeat(offs[at] - (np.cumsum(lens) - lens), lens)].astype("<u4")
-                        back = b"".join(map(dec.__getitem__, at.tolist()))
-                        out.append((total, hashlib.sha256(got.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()) if digests else (got.astype(np.int32), back))
+                        got = got.astype("<u4")
+                        out.append((len(got), hashlib.sha256(got).hexdigest(), hashlib.sha256(back).hexdigest()) if digests else (got.astype(np.int32), back))
                     kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["token_ids", "decoded"]
                     yield pa.RecordBatch.from_arrays([ids.slice(s, step), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["id", *names])

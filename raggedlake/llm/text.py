@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +61,7 @@ def spaced_words(text: str) -> tuple[str, list[str]]:
 class WordIds:
     """Ids of words, each word encoded once while the cache lasts.
 
-    encode_many maps a list of distinct words to a list of id sequences. The cache is cleared when it
+    encode_many maps a list of distinct words to a list of id sequences, or to all their ids and the lengths. The cache is cleared when it
     would pass its limit; results don't depend on that.
     """
 
@@ -78,17 +78,21 @@ class WordIds:
 
     def _add(self, words: list[str]) -> None:
         ids = self.encode_many(words)
+        if isinstance(ids, tuple):
+            joined, lens = ids
+        else:
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            joined = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
         n0, n1 = len(self.index), len(self.index) + len(words)
         if n1 > len(self.lens):
             self.lens = np.concatenate([self.lens, np.zeros(max(n1, len(self.lens)), np.int64)])
             self.offs = np.concatenate([self.offs, np.zeros(max(n1, len(self.offs)), np.int64)])
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
         if self.n_flat + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.int32)])
         self.lens[n0:n1] = lens
         self.offs[n0:n1] = self.n_flat + np.cumsum(lens) - lens
-        self.flat[self.n_flat : self.n_flat + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.flat[self.n_flat : self.n_flat + total] = joined
         self.n_flat += total
         self.index.update(zip(words, range(n0, n1)))
 
