@@ -50,7 +50,7 @@ TASK_GRAMS, BUCKET_DOCS = 2_000_000, 1_000
 TASK_DOCS = 6_000
 #: So many documents with one signature are all paired; more are paired with the smallest id only.
 FEW = 8
-#: Bits of a document's bitmap; rows of the broadcast table that spares texts the shuffle.
+#: Least bits of a document's bitmap; rows of the broadcast table that spares texts the shuffle.
 BITS, MARKS = 2048, 1 << 19
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -152,8 +152,29 @@ def _pair_up(sig: np.ndarray, ids: np.ndarray, wild: np.ndarray) -> tuple[np.nda
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Parities of the n-grams dealt to BITS places: two sets differ in at least as many n-grams as bits."""
-    return np.packbits(np.bincount((mix(grams ^ _M2) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """Parities of the n-grams dealt to BITS places, or a power of two of at least twice the n-grams: two sets differ in at
+    least as many n-grams as bits. A longer map folds to a shorter one (see folded())."""
+    bits = max(BITS, 1 << (2 * len(grams) - 1).bit_length()) if len(grams) else BITS
+    return np.packbits(np.bincount((mix(grams ^ _M2) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) at a smaller power of two of words: halves are added, bit by bit without carry."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """By how many bits the bitmaps of each pair differ, at the shorter one's length."""
+    out = np.empty(len(x), np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes[:, 0] == a) & (sizes[:, 1] == b))
+        maps = [folded(np.frombuffer(b"".join(v[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1), min(a, b) // 8) for v in (x, y)]
+        out[rows] = np.bitwise_count(maps[0] ^ maps[1]).sum(1)
+    return out
 
 
 class Search:
@@ -320,40 +341,45 @@ def _possible(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("xa", "xb"))
-                apart = np.bitwise_count(x ^ y).sum(1)
                 most = (q - p) * (column(b, "na").to_numpy() + column(b, "nb").to_numpy()) // (q + p)
-                keep = pa.array(apart <= most)
+                keep = pa.array(apart(column(b, "xa").to_pylist(), column(b, "xb").to_pylist()) <= most)
                 yield pa.RecordBatch.from_arrays([column(b, c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return rows.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _forest_of_possible(n: np.ndarray, bits: np.ndarray, side: np.ndarray | None, limit: Fraction) -> list[tuple[int, int]]:
+def _forest_of_possible(n: np.ndarray, bits: list[bytes], side: np.ndarray | None, limit: Fraction) -> list[tuple[int, int]]:
     """Places that sizes and bitmaps allow to link, as a forest; with side, between different sides only."""
     p, q = limit.numerator, limit.denominator
     order = np.argsort(n, kind="stable")
-    n, bits = n[order], bits[order]
+    n = n[order]
+    words = np.array([len(bits[i]) // 8 for i in order.tolist()])  # rises with n
     side = None if side is None else side[order]
     stop = np.searchsorted(n * p, n * q, "right")
     root, members, links = np.arange(len(n)), {i: [i] for i in range(len(n))}, []
-    for r in range(len(n)):
-        near = np.arange(r + 1, stop[r])
-        near = near[root[near] != root[r]]
-        if side is not None:
-            near = near[side[near] != side[r]]
-        if not len(near):
-            continue
-        apart = np.bitwise_count(bits[near] ^ bits[r]).sum(1)
-        for x in near[apart <= (q - p) * (n[near] + n[r]) // (q + p)]:
-            a, b = root[r], root[x]
-            if a != b:
-                links.append((int(order[r]), int(order[x])))
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                moved = members.pop(b)
-                root[moved] = a
-                members[a] += moved
+    for level in np.unique(words).tolist():
+        # sets of one length of bitmap, and the longer ones that can be near enough in size, folded to it
+        begin, end = int(np.searchsorted(words, level)), int(np.searchsorted(words, level, "right"))
+        last = int(stop[end - 1])
+        cuts = [begin, *(begin + 1 + np.flatnonzero(np.diff(words[begin:last]))).tolist(), last]
+        maps = np.concatenate([folded(np.frombuffer(b"".join(bits[i] for i in order[s:e].tolist()), np.uint64).reshape(e - s, -1), level) for s, e in zip(cuts, cuts[1:])])
+        for r in range(begin, end):
+            near = np.arange(r + 1, stop[r])
+            near = near[root[near] != root[r]]
+            if side is not None:
+                near = near[side[near] != side[r]]
+            if not len(near):
+                continue
+            differ = np.bitwise_count(maps[near - begin] ^ maps[r - begin]).sum(1)
+            for x in near[differ <= (q - p) * (n[near] + n[r]) // (q + p)]:
+                a, b = root[r], root[x]
+                if a != b:
+                    links.append((int(order[r]), int(order[x])))
+                    if len(members[a]) < len(members[b]):
+                        a, b = b, a
+                    moved = members.pop(b)
+                    root[moved] = a
+                    members[a] += moved
     return links
 
 
@@ -374,9 +400,8 @@ def _refined(nodes: DataFrame, docs: DataFrame, limit: Fraction) -> DataFrame:
     def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("id")
         ids = part["id"].to_numpy()
-        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), -1)
         side = part["block"].to_numpy() if key[1] != key[2] else None
-        links = _forest_of_possible(part["n"].to_numpy().astype(np.int64), bits, side, limit)
+        links = _forest_of_possible(part["n"].to_numpy().astype(np.int64), part["bits"].tolist(), side, limit)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"], dtype="int64")
 
     found = components(rows.groupBy("label", "i", "j").applyInPandas(find, "a long, b long"))
