@@ -67,6 +67,7 @@ def family_texts(seed=5):
 @pytest.mark.parametrize(("n", "limit", "grams"), [(3, Fraction(9, 10), 3_000_000), (5, Fraction(4, 5), 3_000_000), (3, Fraction(9, 10), 600)])
 def test_jaccard_components(spark, monkeypatch, n, limit, grams):
     monkeypatch.setattr(ngram_join, "TASK_GRAMS", grams)  # small: components are cut into blocks
+    monkeypatch.setattr(ngram_join, "TASK_DOCS", 6_000 if grams > 600 else 5)
     texts = family_texts()
     want, sets = brute_components(texts, n, limit.numerator, limit.denominator)
     got = {r["doc_id"]: r for r in ngram_join.jaccard_components(docs(spark, texts), n, limit).collect()}
@@ -87,6 +88,35 @@ def test_many_near_copies_take_the_star(spark, monkeypatch):
     assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == brute_components(texts, 3, 9, 10)[0]
 
 
+def test_bitmaps_never_rule_out_a_link():
+    """Differing bits are at most the differing n-grams at any pair of sizes, and tell long unrelated sets apart."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    sets = []
+    for n in (1, 3, 50, 900, 1024, 1100, 2048, 2300, 9000, 16000):
+        base = draw(n)
+        sets += [base, np.unique(np.concatenate([base[: n - n // 20], draw(n // 20 + 1)])), base[: max(1, int(n * 0.85))], draw(n)]
+    maps = list(map(ngram_join.bitmap, sets))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    differ = ngram_join.apart([maps[a] for a, _ in pairs], [maps[b] for _, b in pairs])
+    for (a, b), d in zip(pairs, differ.tolist()):
+        assert d <= len(np.setxor1d(sets[a], sets[b]))
+    for a, b in ((35, 32), (39, 36)):  # unrelated sets of 9 000 and 16 000
+        assert differ[pairs.index((a, b))] > (len(sets[a]) + len(sets[b])) // 9
+    limit = Fraction(4, 5)
+    n = np.array(list(map(len, sets)))
+    order = rng.permutation(len(sets))
+    links = ngram_join._forest_of_possible(n[order], [maps[i] for i in order], None, limit)
+    root = list(range(len(sets)))
+    for a, b in links:
+        x, y = root[order[a]], root[order[b]]
+        root = [x if r == y else r for r in root]
+    for a, b in pairs:
+        if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])):
+            assert root[a] == root[b]
+    assert root[35] != root[32] and root[39] != root[36]
+
+
 def test_jaccard_nulls_and_empty(spark):
     rows = [(None, "a b c d", None, None, None, None), (None, None, None, None, None, None), (4, "a b c d", None, None, None, None), (4, "a b c d", None, None, None, None)]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, FIELDS)).collect()
@@ -112,6 +142,14 @@ def test_components(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Ten thousand nodes in one path, with shuffled names and repeated edges."""
+    names = np.random.default_rng(3).permutation(10_000).tolist()
+    edges = spark.createDataFrame([*zip(names, names[1:]), *zip(names[1:50], names[:49])], "a long, b long")
+    got = graph.components(edges)
+    assert (got.count(), got.where("label = 0").count()) == (10_000, 10_000)
+
+
 def brute_cut(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
@@ -140,6 +178,37 @@ def test_repeated_bytes(spark, monkeypatch, length, shard):
     assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute_cut(texts, length)
 
 
+def test_shards_of_texts_with_nul_bytes():
+    """Suffix arrays, common prefixes and binary search where texts hold the byte that separates runs inside a shard."""
+    rng = random.Random(11)
+    for case in range(400):
+        letters, length = (b"\0a", b"\0\xff", b"ab")[case % 3], (3, 8, 9, 17)[case % 4]
+        parts = [[bytes(rng.choice(letters) for _ in range(length + rng.randrange(12))) for _ in range(rng.randrange(1, 5))] for _ in range(2)]
+        starts = [np.array([len(p) - length + 1 for p in side]) for side in parts]
+        a, b = (suffix_dedup.Shard(p, s, length) for p, s in zip(parts, starts))
+        windows = [[p[i : i + length] for p in side for i in range(len(p) - length + 1)] for side in parts]
+        many = Counter(windows[0])
+        assert a.repeats().tolist() == [many[w] > 1 for w in windows[0]]
+        assert a.holds(b).tolist() == [w in many for w in windows[1]] and b.holds(a).tolist() == [w in set(windows[1]) for w in windows[0]]
+
+
+def test_repeated_bytes_with_nul_bytes(spark, monkeypatch):
+    rng = random.Random(12)
+    odd = lambda n: "".join(rng.choice("\0\0\0a") for _ in range(n))
+    passage = odd(90)
+    texts = [odd(rng.randrange(40, 160)) + (passage[rng.randrange(30) :] if i % 2 else "") + odd(rng.randrange(30)) for i in range(30)]
+    for shard in (1_500_000, 1500):
+        monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+        got = {r["doc_id"]: r for r in suffix_dedup.dedup(docs(spark, texts), 40).collect()}
+        assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute_cut(texts, 40)
+
+
+def test_least_id_is_no_null(spark):
+    t = sentence(random.Random(1), 100)
+    got = suffix_dedup.dedup(spark.createDataFrame([(-(1 << 63), t), (None, t), (2, t + "x")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in got) == [(False, -(1 << 63), len(t)), (False, 2, len(t)), (True, 0, len(t))]
+
+
 def test_repeated_rows_and_empty_table(spark):
     t = sentence(random.Random(1), 100)
     got = suffix_dedup.dedup(spark.createDataFrame([(1, t), (1, t), (None, "x"), (None, None)], "doc_id long, text string"), with_bytes=True).collect()
@@ -192,6 +261,38 @@ def test_vector_search_of_few_rows(spark):
     assert vector_index.search(df.limit(0), F.col("vec_id") % 2 == 0).count() == 0
 
 
+def test_vector_search_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] * 12, "vec_id long, embedding array<double>").repartition(4)
+    want = brute_nearest(np.arange(150), x, 10)
+    got = {}
+    for r in vector_index.search(df, F.col("vec_id") % 10 == 0, probed=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == want
+
+
+@pytest.mark.parametrize("clusters", [1, 40])
+def test_vector_search_recall_at_the_measured_lists(spark, clusters):
+    """As shipped: at least 0.9 of the true neighbours, and few lists where the vectors cluster."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(clusters, 12))[rng.integers(clusters, size=6000)] * 4 + rng.normal(size=(6000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ids = np.arange(6000)
+    got = {}
+    for r in vector_index.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in ids[::100]:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.lexsort((ids, d))[:10].tolist()))
+    assert hits >= 0.9 * 600
+    if clusters > 1:
+        books = vector_index.Codebooks(x, 77)
+        assert books.needed(x, 10) <= 0.4 * len(books.coarse)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(3)
