@@ -1,7 +1,8 @@
 """Licence scans with DataFrame functions alone: TF-IDF cosine to templates, then inheritance down the paths.
 
-Every line of a text, every run of adjacent terms as long as a template (across line breaks, so wrapped notices and
-notices with further text on their line are met), and for licence files the whole text, is compared with licence templates. Terms are
+Every line of a text, every run of adjacent terms as long as a short template (across line breaks, so wrapped notices and
+notices with further text on their line are met), the runs that a long template's anchors put in place, and for licence files the whole
+text, is compared with licence templates. Terms are
 lower-cased runs of ASCII letters and digits. The document frequency of the templates' terms (a fixed
 vocabulary) is counted over all texts; a term outside the vocabulary has the weight of a term in no text. A line
 or run is scored only if it has an anchor: the terms of a template without its anchors are too light, under the actual
@@ -45,6 +46,41 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Proprietary": ("Copyright. All rights reserved. Unauthorized copying is prohibited.", "All rights reserved."),
 }
+#: The usual texts and headers (fixed values): compared with whole licence files, and with the one run of terms that each anchor
+#: found in a text puts in place.
+TEXTS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+    obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+    distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+    License for the specific language governing permissions and limitations under the License.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+    met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+    Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to
+    endorse or promote products derived from this software without specific prior written permission.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+    Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+    be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+    Public License for more details.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+    Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+    be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+    Public License for more details.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+    copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD
+    TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+    INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+    OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+    to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+    sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+    notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+    WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+    NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+    CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+#: A notice of more terms than this is compared with one run an anchor only.
+SHORT = 30
 #: Its short form also stands beside other licences ("Copyright ... All rights reserved." above a BSD notice): any other
 #: licence found in the text goes before it.
 WEAK = "Proprietary"
@@ -59,7 +95,7 @@ def terms(text: str) -> list[str]:
 
 
 def _notices() -> list[tuple[str, str]]:
-    return [(name, x) for name, forms in TEMPLATES.items() for x in forms]
+    return [(name, x) for name, forms in TEMPLATES.items() for x in forms] + list(TEXTS.items())
 
 
 def _vocabulary() -> list[str]:
@@ -86,27 +122,32 @@ def idf(docs: DataFrame, text_col: str) -> tuple[dict[str, float], float]:
     return {t: weigh(seen.get(t, 0)) for t in vocab}, weigh(0)
 
 
-def cosines(words: Column, weights: dict[str, float], other: float) -> Column:
-    """array<struct<score, license>> of the templates' cosines with a bag of terms."""
+def cosines(words: Column, weights: dict[str, float], other: float, match: float = MATCH) -> Column:
+    """array<struct<score, license>> of a bag of terms' cosines with the templates of which it has an anchor."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    vocab = list(weights)
-    at = {t: i for i, t in enumerate(vocab)}
-    known = F.array(*map(F.lit, vocab))
-    weight = F.array(*[F.lit(weights[t]) for t in vocab])
-    counted = F.zip_with(F.transform(known, lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double")), weight, lambda a, b: a * b)
-    strange = F.filter(words, lambda w: ~F.array_contains(known, w))
-    rest = _let(strange, lambda s: total(F.transform(F.array_distinct(s), lambda t: F.pow(F.size(F.filter(s, lambda w: w == t)) * F.lit(other), F.lit(2.0)))))
-
-    def scores(vec: Column) -> Column:
-        out = []
-        for name, text in _notices():
-            dot = F.lit(0.0)
-            for t, x in vector(text, weights).items():
-                dot = dot + F.get(vec, F.lit(at[t])) * F.lit(x)
-            out.append(F.struct(dot.alias("score"), F.lit(name).alias("license")))
-        return _let(F.sqrt(total(F.transform(vec, lambda x: x * x)) + rest), lambda norm: F.transform(F.array(*out), lambda x: F.struct(F.when(norm > 0, x["score"] / norm).otherwise(F.lit(0.0)).alias("score"), x["license"].alias("license"))))
-
-    return _let(counted, scores)
+    known = F.array(*map(F.lit, weights))
+    weigh = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    notices = []
+    for name, text in _notices():
+        unit = vector(text, weights)
+        held = F.array(*map(F.lit, anchors(unit, weights, match)))
+        notices.append(F.struct(F.lit(name).alias("license"), F.create_map(*[F.lit(x) for pair in unit.items() for x in pair]).alias("unit"), held.alias("held")))
+    # the other terms are sorted, and their runs counted in one pass: a licence file can be a long text
+    strange = F.sort_array(F.filter(words, lambda w: ~F.array_contains(known, w)))
+    begin = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+    more = lambda a, w: F.when(w == a["t"], F.struct(w.alias("t"), (a["n"] + 1).alias("n"), a["sum"].alias("sum"))).otherwise(F.struct(w.alias("t"), F.lit(1.0).alias("n"), (a["sum"] + a["n"] * a["n"]).alias("sum")))
+    rest = F.aggregate(strange, begin, more, lambda a: (a["sum"] + a["n"] * a["n"]) * (other * other))
+
+    def weighed(mine: Column) -> Column:
+        return F.transform(F.array_distinct(mine), lambda t: F.struct(t.alias("t"), (F.size(F.filter(mine, lambda w: w == t)) * F.element_at(weigh, t)).alias("x")))
+
+    def scores(bag: Column) -> Column:
+        dot = lambda notice: total(F.transform(bag, lambda p: p["x"] * F.coalesce(F.try_element_at(notice["unit"], p["t"]), F.lit(0.0))))
+        norm = F.sqrt(total(F.transform(bag, lambda p: p["x"] * p["x"])) + rest)
+        near = F.filter(F.array(*notices), lambda notice: F.arrays_overlap(words, notice["held"]))
+        return _let(norm, lambda size: F.transform(near, lambda notice: F.struct((dot(notice) / size).alias("score"), notice["license"].alias("license"))))
+
+    return _let(F.filter(words, lambda w: F.array_contains(known, w)), lambda mine: _let(weighed(mine), scores))
 
 
 def vector(text: str, weights: dict[str, float]) -> dict[str, float]:
@@ -132,13 +173,15 @@ def anchors(unit: dict[str, float], weights: dict[str, float], match: float = MA
 
 
 def windows(words: Column, weights: dict[str, float], other: float, match: float = MATCH) -> Column:
-    """array<struct<score, license>> of each template's cosines with the runs of as many terms around its anchors."""
+    """array<struct<score, license>> of each template's cosines with the runs of as many terms around its anchors; of a long
+    template, with the run that begins where an anchor's first place in the template puts it."""
     notices = []
     for name, text in _notices():
         unit = vector(text, weights)
         parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(weights[t]).alias("w"), F.lit(x).alias("u")) for t, x in unit.items()])
         held = F.array(*map(F.lit, anchors(unit, weights, match)))
-        notices.append(F.struct(F.lit(name).alias("license"), F.lit(len(terms(text))).alias("n"), parts.alias("parts"), held.alias("held")))
+        first = F.array(*[F.lit(terms(text).index(t)) for t in anchors(unit, weights, match)])
+        notices.append(F.struct(F.lit(name).alias("license"), F.lit(len(terms(text))).alias("n"), parts.alias("parts"), held.alias("held"), first.alias("first")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     weigh = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     square = lambda x: x * x
@@ -157,7 +200,9 @@ def windows(words: Column, weights: dict[str, float], other: float, match: float
     def around(w: Column, i: Column, notice: Column) -> Column:
         first = F.greatest(F.lit(0), i - notice["n"] + 1)
         last = F.greatest(first, F.least(i, F.size(w) - notice["n"]))
-        return F.transform(F.sequence(first, last), lambda k: F.slice(w, k + 1, notice["n"]))
+        place = F.greatest(F.lit(0), i - F.get(notice["first"], F.array_position(notice["held"], F.get(w, i)).cast("int") - 1))
+        starts = F.when(notice["n"] > SHORT, F.array(place)).otherwise(F.sequence(first, last))
+        return F.transform(starts, lambda k: F.slice(w, k + 1, notice["n"]))
 
     def one(w: Column, notice: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(notice["held"], F.get(w, i)))
@@ -181,8 +226,10 @@ def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, ma
     weights, other = idf(files, text_col)
     held = F.array(*map(F.lit, sorted({t for _, x in _notices() for t in anchors(vector(x, weights), weights, match)})))
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), held))
-    units = F.when(whole, F.concat(lines, F.array(F.col(text_col)))).otherwise(lines)
     keep = [c for c in files.columns if c != text_col]
+    files = files.withColumns({"_lines": lines, "_whole": whole})
+    # a whole text without an anchor in any line matches nothing
+    units = F.when(F.col("_whole") & (F.size("_lines") > 0), F.concat("_lines", F.array(F.col(text_col)))).otherwise(F.col("_lines"))
     rows = files.select(*keep, F.coalesce(F.array_distinct(units), F.array()).alias("_u"), F.coalesce(spdx(F.col(text_col)), F.array()).alias("_x"), F.coalesce(_terms(F.col(text_col)), F.array()).alias("_w"))
 
     def better(a: Column, x: Column) -> Column:
@@ -191,7 +238,7 @@ def own_licenses(files: DataFrame, id_col: str, text_col: str, whole: Column, ma
         return F.when((s > a["s"]) | ((s == a["s"]) & (x["license"] < a["l"])), F.struct(s.alias("s"), x["license"].alias("l"))).otherwise(a)
 
     none = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("l"))
-    found = F.flatten(F.transform("_u", lambda u: _let(_terms(u), lambda w: cosines(w, weights, other))))
+    found = F.flatten(F.transform("_u", lambda u: _let(_terms(u), lambda w: cosines(w, weights, other, match))))
     runs = F.when(F.arrays_overlap("_w", held), _let(F.col("_w"), lambda w: windows(w, weights, other, match))).otherwise(F.array())
     best = F.reduce(F.concat(found, F.col("_x"), runs), none, better)
     scored = rows.withColumn("_b", best).withColumn("_b", F.struct((F.col("_b.s") - F.when(F.col("_b.s") > 1.000001, 1.0).otherwise(0.0)).alias("s"), F.col("_b.l").alias("l")))

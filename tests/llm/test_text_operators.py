@@ -195,17 +195,40 @@ def test_forward_backward_equals_brute_force():
 
     rng = np.random.default_rng(3)
     known = {"bad": 1, "near": 2}
-    f = toxicity.Field(known, rng.normal(size=(3, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
-    words = "bad x near x x bad y".split()
-    kinds = [f.kinds[w] for w in words]
-    at = [i for i, k in enumerate(kinds) if k]
-    p = np.zeros(len(words))
-    total = 0.0
-    for path in product((0, 1), repeat=len(words)):
-        w = f.start[path[0]] * np.prod([f.emit[k][s] for k, s in zip(kinds, path)]) * np.prod([f.step[a, b] for a, b in pairwise(path)])
-        total += w
-        p += w * np.array(path)
-    assert np.allclose(f.marginals(at, [kinds[i] for i in at], len(words)), (p / total)[at])
+    for text in ("bad x near x x bad y", "x y bad near", "x x x bad", "bad", "near bad x x x x"):
+        f = toxicity.Field(known, rng.normal(size=(3, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
+        words = text.split()
+        kinds = [f.kinds[w] for w in words]
+        at = [i for i, k in enumerate(kinds) if k]
+        p = np.zeros(len(words))
+        total = 0.0
+        for path in product((0, 1), repeat=len(words)):
+            w = f.start[path[0]] * np.prod([f.emit[k][s] for k, s in zip(kinds, path)]) * np.prod([f.step[a, b] for a, b in pairwise(path)])
+            total += w
+            p += w * np.array(path)
+        assert np.allclose(f.marginals(at, [kinds[i] for i in at], len(words)), (p / total)[at])
+
+
+def test_toxicity_scores_of_long_texts_equal_the_plain_recursion():
+    """Scores of whole texts, over long gaps too, by forward-backward vectors word after word in numpy."""
+    rng = np.random.default_rng(8)
+    f = toxicity.Field({"bad": 1, "near": 2, "^badg": 3}, rng.normal(size=(4, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
+    for size in (1, 30, 3000):
+        words = rng.choice(["bad", "near", "badger", *["x"] * 60], size).tolist()
+        emit = np.array([f.emit[f.kinds[w]] for w in words])
+        fore, back = np.empty((size, 2)), np.ones((size, 2))
+        for i in range(size):
+            v = f.start * emit[0] if i == 0 else (fore[i - 1] @ f.step) * emit[i]
+            fore[i] = v / v.sum()
+        for i in range(size - 2, -1, -1):
+            v = f.step @ (emit[i + 1] * back[i + 1])
+            back[i] = v / v.sum()
+        p = fore * back
+        p = p[:, 1] / p.sum(1)
+        known = [k for k, w in enumerate(words) if f.kinds[w]]
+        score, spans = f.tag(" ".join(words))
+        assert np.isclose(score, max([toxicity.BASE, *p[known]]))
+        assert sum(len(" ".join(words)[s:e].split()) for s, e, _ in spans) == sum(p[k] >= 0.5 for k in known)
 
 
 def test_license_scan(spark):
@@ -267,9 +290,91 @@ def test_license_scan_inherits_from_the_root(spark):
         assert [r["license"] for r in scan(spark, [mit, "x"], own).values()] == ["MIT", "MIT"]
 
 
+def brute_cosine(texts, units, match=0.8):
+    """The best licence of some units (bags of terms) by TF-IDF cosine, with the weights of the texts; nothing of the operator's own."""
+    import math
+
+    n = len(texts)
+    seen = Counter(t for x in texts for t in set(re.findall("[a-z0-9]+", (x or "").lower())))
+    vocabulary = {t for _, x in license_scan._notices() for t in re.findall("[a-z0-9]+", x.lower())}
+    weight = lambda t: math.log((n + 1) / ((seen[t] if t in vocabulary else 0) + 1)) + 1
+    vec = lambda bag: {t: c * weight(t) for t, c in Counter(bag).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    best = (0.0, "")
+    for bag in units:
+        v = vec(bag)
+        for name, x in license_scan._notices():
+            u = vec(re.findall("[a-z0-9]+", x.lower()))
+            if v:
+                best = min(best, (-round(sum(v.get(t, 0) * y for t, y in u.items()) / size(u) / size(v), 9), name))
+    return (best[1], -best[0]) if -best[0] >= match else (None, None)
+
+
+def test_license_scan_equals_plain_cosines(spark):
+    """Lines and whole licence files, by independent arithmetic; runs across lines are switched off by lines that repeat no notice."""
+    rng = np.random.default_rng(9)
+    notices = [x for _, x in license_scan._notices()]
+    texts, paths = [], []
+    for i in range(60):
+        words = re.findall("[A-Za-z0-9]+", notices[i % len(notices)])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(len(words)))] = f"other{rng.integers(50)}"
+        texts.append(" ".join(words))
+        paths.append(f"d{i}/" + ("LICENSE" if i % 2 else "x.txt"))
+    texts += ["one two\n\nthree", "", None]
+    paths += ["e/LICENSE", "e/y.txt", "e/z.txt"]
+    got = scan(spark, texts, paths)
+    for i, t in enumerate(texts):
+        units = [re.findall("[a-z0-9]+", x.lower()) for x in (t or "").split("\n")] + ([re.findall("[a-z0-9]+", (t or "").lower())] if paths[i].endswith("LICENSE") else [])
+        name, score = brute_cosine(texts, units)
+        if name is not None and name != license_scan.WEAK:
+            assert got[i]["own_license"] is not None and got[i]["own_score"] >= score - 1e-6, (i, name, score, got[i])
+        if got[i]["own_license"] is None:
+            assert name is None
+    exact = [i for i in range(len(notices)) if texts[i].lower() == " ".join(re.findall("[a-z0-9]+", notices[i].lower()))]
+    assert exact and all(got[i]["own_score"] == 1.0 for i in exact)
+
+
+def test_license_texts_in_files_and_headers(spark):
+    mit, gpl = license_scan.TEXTS["MIT"], license_scan.TEXTS["GPL-2.0"]
+    plain = [f"some plain words number {i}" for i in range(60)]
+    header = "/*\n" + "\n".join(" * " + x.strip() for x in gpl.split("\n")) + "\n */\nint main() {}\n" + " ".join(plain)
+    long_text = " ".join(f"w{i % 7919}" for i in range(40_000)) + " license public"
+    texts = [f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{mit}", mit.replace("\n", " "), header, long_text, *plain]
+    got = scan(spark, texts, ["a/LICENSE", "b/COPYING", "c/main.c", "d/LICENSE", *[f"e/{i}" for i in range(60)]])
+    assert [got[i]["own_license"] for i in range(4)] == ["MIT", "MIT", "GPL-2.0", None]
+    assert got[1]["own_score"] == 1.0 and all(got[4 + i]["own_license"] is None for i in range(60))
+
+
 def test_toxicity_keeps_its_context_words():
     letters = "abcdefghij"
     near = [f"n{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}" for i in range(600)]
     toxic = [(" ".join(["idiot", near[k % 600], near[(k + 1 + k // 600) % 600]]) + f" {k}", 1) for k in range(6600)]
     field = toxicity.fit([*toxic, *[(t.replace("idiot", "plain"), 0) for t, _ in toxic]])
     assert sum(w in field.known for w in near) == 600
+
+
+def test_byte_bpe_of_long_and_repeated_texts(spark, monkeypatch):
+    """A word of 100 000 letters, repeated rows, and tasks that share pieces (these are folded once and broadcast)."""
+    import random
+
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    words = [letters(rng.randrange(1, 14)) for _ in range(300)]
+    texts = [letters(100_000), "a" + letters(255), "a" + letters(256), "é" * 300, "x" * 5000, "short " + letters(700) + " end " + letters(300)]
+    texts += [" ".join(rng.choice(words) for _ in range(60)) for _ in range(80)]
+    texts += [texts[7]] * 3 + ODD
+    got = collect(byte_bpe.encode_texts(docs(spark, texts).repartition(6), path, P.PATTERN))
+    monkeypatch.setattr(byte_bpe, "COMMON", 0)
+    none = collect(byte_bpe.encode_texts(docs(spark, texts).repartition(6), path, P.PATTERN, digests=True))
+    for i, t in enumerate(texts):
+        ids = lib.encode_ordinary(t or "")
+        assert got[i]["token_ids"] == ids and bytes(got[i]["decoded"]) == (t or "").encode()
+        assert none[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    for t in ("ab" * 400, letters(600)):
+        assert byte_bpe.heap_merge(t.encode(), ranks) == lib.encode_ordinary(t)
