@@ -1,14 +1,19 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 The index is fitted on at most SAMPLE rows (those of the smallest hash of their id): coarse centroids by
-k-means, and for each of PARTS slices of the residual a codebook of at most CODES words. Every valid row is then
+k-means, about the square root of the table's rows in number (at most SAMPLE / 20), and for each of PARTS slices of the residual a
+codebook of at most CODES words. How many lists a query visits is measured on the sample too: as few as hold the share RECALL
+of the true nearest neighbours of up to TRIALS sample rows, by brute force within the sample. In the whole table, which is
+denser, neighbours are nearer and the share is higher; vectors that cluster need few lists, vectors that don't need many. Every valid row is then
 assigned to its centroid's list and stored with its code, the distance between itself and what its code stands
 for, and its original vector. A query visits the lists of its nearest centroids. In a list the asymmetric
 distance table gives d', which is off by at most that stored distance e: a row with d' - e above the k-th
 smallest d' + e can't be among the k nearest. All other rows are reranked exactly, so nothing that the visited
 lists hold is lost, even among thousands of near copies.
 
-Defined results: vectors that are null, zero, of another length than the fitted ones, or that hold null or
+Lists meet queries in blocks of at most about BLOCK_ROWS rows and BLOCK_QUERIES queries, dealt by a hash of the id.
+
+Defined results: rows that repeat with id and vector count once. Vectors that are null, zero, of another length than the fitted ones, or that hold null or
 non-finite components take no part, nor do rows without id. Ties go to the smaller id. A query visits further
 lists until these hold more than k rows, so with few rows it gets all candidates. No valid rows: no result.
 """
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +33,10 @@ from raggedlake.llm.text import column
 from raggedlake.plans.session import materialize, prepare_workers, table
 
 SAMPLE, SEED, PARTS, CODES, ROUNDS = 20_000, 11, 8, 64, 8
-#: Share of the lists that a query visits.
-PROBED = 0.65
+#: Share of the sample's true neighbours that the visited lists must hold, and the sample rows tried.
+RECALL, TRIALS = 0.96, 500
 #: Rows of a list, and queries, that one task compares at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 4_000, 2_000
+BLOCK_ROWS, BLOCK_QUERIES = 8_000, 8_000
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -55,7 +61,7 @@ class Codebooks:
     def __init__(self, x: np.ndarray, lists: int | None = None, parts: int = PARTS, codes: int = CODES, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.dim = x.shape[1]
-        self.coarse = kmeans(x, lists or max(1, min(256, int(len(x) ** 0.5))), rng)
+        self.coarse = kmeans(x, max(1, min(lists or int(len(x) ** 0.5), len(x))), rng)
         rest = x - self.coarse[nearest(x, self.coarse)]
         self.cuts = np.linspace(0, self.dim, min(parts, self.dim) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], codes, rng) for a, b in zip(self.cuts, self.cuts[1:])]
@@ -68,6 +74,23 @@ class Codebooks:
         stands = np.concatenate([book[code[:, p]] for p, book in enumerate(self.books)], 1)
         return at, code, np.sqrt(((rest - stands) ** 2).sum(1))
 
+    def needed(self, x: np.ndarray, k: int, share: float = RECALL, trials: int = TRIALS, seed: int = SEED) -> int:
+        """How many lists hold this share of the k nearest rows of x to rows of x, on average."""
+        at = nearest(x, self.coarse)
+        picks = np.random.default_rng(seed).permutation(len(x))[:trials]
+        ranks = []
+        for i in range(0, len(picks), 64):
+            mine = picks[i : i + 64]
+            dist = (x**2).sum(1)[None] - 2 * x[mine] @ x.T
+            dist[np.arange(len(mine)), mine] = np.inf
+            found = np.argpartition(dist, min(k, len(x) - 1) - 1, 1)[:, : min(k, len(x) - 1)] if len(x) > 1 else np.empty((len(mine), 0), int)
+            order = np.argsort((self.coarse**2).sum(1)[None] - 2 * x[mine] @ self.coarse.T, 1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+            ranks.append(np.take_along_axis(place, at[found], 1).ravel())
+        ranks = np.sort(np.concatenate(ranks))
+        return 1 + int(ranks[min(len(ranks) - 1, int(np.ceil(share * len(ranks))) - 1)]) if len(ranks) else 1
+
     def distances(self, q: np.ndarray, at: int, code: np.ndarray) -> np.ndarray:
         """Asymmetric distances from one query to coded rows of list at."""
         rest = q - self.coarse[at]
@@ -86,8 +109,11 @@ def _matrix(col: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PROBED, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each query row, exact distances."""
+def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float | None = None, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest found of each query row, exact distances.
+
+    probed: the share of the lists that a query visits, in place of the measured number.
+    """
     spark = vectors.sparkSession
     prepare_workers(spark)
     schema = f"query_id long, rank int, {id_col} long, score double"
@@ -97,7 +123,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PR
         return spark.createDataFrame([], schema)
     sizes = pd.Series([len(v) for v in taken]).value_counts()
     dim = int(sizes.index[0])
-    books = Codebooks(np.array([v for v in taken if len(v) == dim]), lists)
+    fitted = np.array([v for v in taken if len(v) == dim])
+    books = Codebooks(fitted, lists or max(1, min(int(rows.count() ** 0.5), len(fitted) // 20)))
     shared = spark.sparkContext.broadcast(books)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +141,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PR
     n_lists = len(books.coarse)
     sizes_of = np.array([counts.get(i, (0, 0))[0] for i in range(n_lists)])
     row_blocks = np.maximum(1, -(-sizes_of // BLOCK_ROWS))
-    query_blocks = max(1, -(-sum(q for _, q in counts.values()) // BLOCK_QUERIES))
-    visit = max(1, round(probed * n_lists))
+    visit = max(1, round(probed * n_lists)) if probed is not None else books.needed(fitted, k)
+    # the queries that visit a list are at most all, and about the share of lists that a query visits
+    n_queries = sum(q for _, q in counts.values())
+    query_blocks = max(1, -(-int(n_queries * min(1.0, 2 * visit / n_lists)) // BLOCK_QUERIES))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +156,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PR
             held = np.cumsum(sizes_of[order], 1)
             rank_needed = np.minimum((held <= k).sum(1) + 1, n_lists)
             ids, vecs = column(b, "id").to_pylist(), column(b, "vec").to_pylist()
-            out = [(ids[i], int(at), int(block), int(ids[i] % query_blocks), vecs[i]) for i in range(len(ids)) for at in order[i, : max(visit, rank_needed[i])] if sizes_of[at] for block in range(row_blocks[at])]
+            out = [(ids[i], int(at), int(block), xxhash.xxh3_64_intdigest(str(ids[i])) % query_blocks, vecs[i]) for i in range(len(ids)) for at in order[i, : max(visit, rank_needed[i])] if sizes_of[at] for block in range(row_blocks[at])]
             for s in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[s : s + 20_000]), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["query_id", "list", "block", "qblock", "qvec"])
 
@@ -139,6 +168,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PR
         found = []
         if len(queries) and len(rows):
             b = shared.value
+            rows = rows.drop_duplicates(["id", "vec"])
             ids = rows["id"].to_numpy()
             x = _matrix(rows["vec"], dim)
             code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
