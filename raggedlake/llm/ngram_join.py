@@ -28,14 +28,15 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raggedlake.llm.graph import components
@@ -43,7 +44,7 @@ from raggedlake.llm.text import column, raw_texts, slices
 from raggedlake.plans.session import materialize, prepare_workers, table
 
 #: Signatures that a worker gathers before it pairs and sends them.
-BATCH = 500_000
+BATCH = 300_000
 #: n-grams that one search task holds; documents that share one bucket of signatures, about.
 TASK_GRAMS, BUCKET_DOCS = 2_000_000, 1_000
 #: Documents whose bitmaps one task compares at a time.
@@ -386,25 +387,42 @@ def _forest_of_possible(n: np.ndarray, bits: list[bytes], side: np.ndarray | Non
 def _refined(nodes: DataFrame, docs: DataFrame, limit: Fraction) -> DataFrame:
     """nodes with the labels of large components replaced by those of the pairs in them that can link at all.
 
-    Only ids, sizes and bitmaps travel, so blocks can be larger, and cost less to pair, than blocks of texts.
+    Only ids, sizes and bitmaps travel, so blocks can be larger, and cost less to pair, than blocks of texts. Sets that
+    link differ in size by the limit's ratio at most, so each band of that ratio meets itself and the next one only;
+    a band of more than TASK_DOCS sets is cut into blocks.
     """
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g")).where(F.col("g") > TASK_GRAMS // 3)
     if sizes.isEmpty():
         return nodes
-    m = F.ceil(F.col("c") / TASK_DOCS).cast("int")
-    large = nodes.join(sizes.select("label", m.alias("m")), "label")
-    rows = large.join(docs.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "bits")
+    # a base a little above the ratio: rounding can't put two sets that link two bands apart
+    band = F.floor(F.ln("n") / (math.log(1 / limit) * (1 + 1e-9))).cast("int")
+    large = nodes.join(sizes.select("label"), "label", "left_semi").withColumn("band", band)
+    per_band = large.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / TASK_DOCS).cast("int").alias("m"))
+    blocks = per_band
+    for name, step in (("below", 1), ("above", -1)):
+        blocks = blocks.join(per_band.select("label", (F.col("band") + step).alias("band"), F.col("m").alias(name)), ["label", "band"], "left")
+    rows = large.join(blocks, ["label", "band"]).join(docs.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+
+    def tasks(count: str, low: Column, high: Column, first: Callable[[Column], Column], second: Callable[[Column], Column]) -> Column:
+        """Tasks (low band, high band, block, block) with each of so many blocks."""
+        each = F.when(F.coalesce(F.col(count), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(each, lambda o: F.struct(low.alias("low"), high.alias("high"), first(o).alias("i"), second(o).alias("j")))
+
+    mine, at = F.col("block"), F.col("band")
+    same = tasks("m", at, at, lambda o: F.least(mine, o), lambda o: F.greatest(mine, o))
+    up = tasks("above", at, at + 1, lambda o: mine, lambda o: o)
+    down = tasks("below", at - 1, at, lambda o: o, lambda o: mine)
+    rows = rows.select("label", "band", "block", "id", "n", "bits", F.explode(F.concat(same, up, down)).alias("t")).select("label", "t.*", "band", "block", "id", "n", "bits")
 
     def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("id")
         ids = part["id"].to_numpy()
-        side = part["block"].to_numpy() if key[1] != key[2] else None
+        _, low, high, i, j = key
+        side = None if low == high and i == j else (part["block"] if low == high else part["band"]).to_numpy()
         links = _forest_of_possible(part["n"].to_numpy().astype(np.int64), part["bits"].tolist(), side, limit)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"], dtype="int64")
 
-    found = components(rows.groupBy("label", "i", "j").applyInPandas(find, "a long, b long"))
+    found = components(rows.groupBy("label", "low", "high", "i", "j").applyInPandas(find, "a long, b long"))
     inner = nodes.join(sizes.select("label", F.lit(True).alias("big")), "label", "left").join(found.withColumnRenamed("label", "inner"), "id", "left")
     # a document of a large component that can link with none is a component of its own
     return inner.select("id", "key", "n", F.when(F.col("big"), F.coalesce("inner", "id")).otherwise(F.col("label")).alias("label"))
