@@ -35,7 +35,7 @@ from raggedlake.plans.session import materialize, prepare_workers, table
 
 LENGTH, GRAM = 200, 64
 #: Bytes of one shard's suffix array, about.
-SHARD = 1_500_000
+SHARD = 1_000_000
 NO_ID = -(1 << 63)
 
 _P = 0x9E3779B97F4A7C15
@@ -241,7 +241,7 @@ def spans(hit: np.ndarray, starts: np.ndarray, first: np.ndarray, length: int) -
 
 def _runs_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=1 << 20):
+        for b in slices(batches, limit=1 << 19):
             raw = raw_texts(b)
             doc, first, count, v, own = runs(raw, length, gram)
             ids, tks = (column(b, c).to_numpy() for c in ("id", "tk"))
