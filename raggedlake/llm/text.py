@@ -15,6 +15,13 @@ SLICE_BYTES = 2 << 20
 CACHE_WORDS = 1_000_000
 
 
+def byte_chars() -> dict[str, int]:
+    """The printable stand-ins of bytes in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each is at most limit bytes, or one row."""
     for batch in batches:

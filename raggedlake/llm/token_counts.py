@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raggedlake.llm.text import CACHE_WORDS, WordIds, column, slices, spaced_words, texts
+from raggedlake.llm.text import CACHE_WORDS, WordIds, byte_chars, column, slices, spaced_words, texts
 from raggedlake.plans.session import prepare_workers, table
 
 #: Pairs of tokens whose stability is remembered; the memory is emptied beyond that.
@@ -31,20 +31,13 @@ PAIR_LIMIT = 1_000_000
 SPACES = regex.compile(r"\s+")
 
 
-def _byte_chars() -> dict[str, int]:
-    """The printable stand-ins of bytes in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Counts of one vocabulary file (byte-level BPE, the tokenizers JSON format)."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        back = _byte_chars()
+        back = byte_chars()
         raw = lambda s: bytes(back[c] for c in s)
         self.vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if all(c in back for c in k)}
         self.merges: dict[tuple[int, int], int] = {}  # rank of a pair

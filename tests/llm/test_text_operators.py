@@ -378,3 +378,19 @@ def test_byte_bpe_of_long_and_repeated_texts(spark, monkeypatch):
         assert none[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     for t in ("ab" * 400, letters(600)):
         assert byte_bpe.heap_merge(t.encode(), ranks) == lib.encode_ordinary(t)
+
+
+def test_packing_merges_words_without_the_library(monkeypatch):
+    """Random letters, signs and combining marks equal the library's ids; plain words don't go to it, which costs most of the time."""
+    import random
+
+    path = P.path("word_bpe_49k.json")
+    rng, some = random.Random(1), "abcdefghijklmnopqrstuvwxyzABZ  \t\n0159.,;:!?<|>#-_()éÉüßñçÀ̀́İſŉKÅΣς中あ한😀𝒜𝟘٣½²Ⅷ\xa0　​\x1c\x85\x00;Ωʹ`ﬁ"
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 60))) for _ in range(3_000)] + ["x" * 64, "." * 64, "ab" * 32, "", " "]
+    enc = packing.WordEncoder(path)
+    with monkeypatch.context() as m:
+        m.setattr(packing.WordEncoder, "library_ids", None)
+        got = enc.encode([t.replace("<|", "<") for t in texts])
+    assert [x.tolist() for x in got] == [e.ids for e in enc.tokenizer.encode_batch([t.replace("<|", "<") for t in texts], add_special_tokens=False)]
+    texts += ["It's we'll DON'T l'eau 's", "<|startoftext|>a <|endoftext|>", "a<|b", "x" * 5_000, "ab" * 70 + "." * 99]
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
