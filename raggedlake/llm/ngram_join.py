@@ -2,11 +2,12 @@
 
 Documents link when their sets of word n-grams reach the Jaccard limit. Three steps, none of which loses a link:
 
-1. Where two sets can meet. Sets that link differ in at most d n-grams, d fixed by the limit and the larger set.
-   Deal the n-grams by hash into d + 1 parts: one part at least is then the same in both. Each document's parts are
-   hashed to signatures (about d of them), and equal signatures make candidate pairs. Sizes are banded so that
-   both documents of a pair use the same number of parts. Where few documents have a signature, each pair of
-   them is tested by size and by bitmaps of parities, which can only rule out what can't link. Where many have
+1. Where two sets can meet. All n-grams have one order, the frequent ones last. Sets of which the larger has m n-grams
+   share limit * m of them at least, so each set's first m - limit * m + 1 n-grams hold one that is among the other's,
+   too (prefix filtering). These are the set's signatures, and equal signatures make candidate pairs. Frequencies are
+   counted over all texts, but only where a worker's batch has an n-gram twice, and kept by hash in a table of fixed
+   size: that decides the order, hence how many pairs are tested, never a result. Where few documents have a
+   signature, each pair of them is tested by size and by bitmaps of parities, which can only rule out what can't link. Where many have
    it, all are paired with the smallest id. A worker does this among its own rows first and passes on only the
    smallest id of many: a signature that a third of all documents share is one entry from each worker's batch.
 2. The connected components of these pairs. Linked documents are in one component, so each document's set
@@ -36,12 +37,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raggedlake.llm.graph import components
 from raggedlake.llm.text import column, raw_texts, slices
-from raggedlake.plans.session import materialize, prepare_workers, table
+from raggedlake.plans.session import drop_materialized, materialize, prepare_workers, table
 
 #: Signatures that a worker gathers before it pairs and sends them.
 BATCH = 300_000
@@ -51,6 +53,8 @@ TASK_GRAMS, BUCKET_DOCS = 2_000_000, 1_000
 TASK_DOCS = 6_000
 #: So many documents with one signature are all paired; more are paired with the smallest id only.
 FEW = 8
+#: Bits of a hash below those that choose a cell of the table of frequencies; cells that are kept; n-grams counted at a time.
+CELL, OFTEN, COUNTED = np.uint64(41), 500_000, 3_000_000
 #: Least bits of a document's bitmap; rows of the broadcast table that spares texts the shuffle.
 BITS, MARKS = 2048, 1 << 19
 
@@ -83,40 +87,50 @@ def gram_sets(raw: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-class Bands:
-    """Size bands and parts for a Jaccard limit."""
+def prefix(grams: np.ndarray, limit: Fraction, levels: np.ndarray) -> np.ndarray:
+    """A set's signatures: its first n-grams in the order of levels, then hashes; one at least is among those of any set that links with it."""
+    size = len(grams)
+    count = size - -(-limit.numerator * size // limit.denominator) + 1
+    key = (levels[(grams >> CELL).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6))
+    return mix(np.partition(key, count - 1)[:count] + _M1)
 
-    def __init__(self, limit: Fraction):
-        self.limit, self.ratio = limit, max(Fraction(3, 2), 1 / limit)
 
-    def band(self, size: int) -> int:
-        b, top = 0, Fraction(1)
-        while top < size:
-            b, top = b + 1, top * self.ratio
-        return b
+def _levels(docs: DataFrame, n: int) -> np.ndarray:
+    """By an n-gram's first bits, how frequent it is: 0, or about three times the binary logarithm of its count, up to 63.
 
-    def top(self, band: int) -> int:
-        return int(self.ratio**band)
-
-    def parts(self, band: int) -> int:
-        """One more than the most n-grams by which linked sets, the larger in this band, can differ."""
-        return int((1 - self.limit) / (1 + self.limit) * 2 * self.top(band)) + 1
+    Counted is what a worker's batch has twice or more; of that the most frequent OFTEN cells are kept.
+    """
 
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        size = len(grams)
-        b = self.band(size)
-        out = []
-        for band in (b, b + 1) if int(size / self.limit) > self.top(b) else (b,):
-            k = self.parts(band)
-            part = (mix(grams + _M1) >> np.uint64(20)) % np.uint64(k)
-            order = np.argsort(part, kind="stable")
-            p = part[order]
-            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            with np.errstate(over="ignore"):
-                sums = np.zeros(k, np.uint64)
-                sums[p[first]] = np.add.reduceat(mix(grams)[order], first)
-                out.append(mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)) * _M1))
-        return np.concatenate(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            grams, count = np.unique(np.concatenate(held), return_counts=True)
+            some = count > 1
+            return pa.RecordBatch.from_arrays([pa.array((grams[some] >> CELL).astype(np.int32)), pa.array(count[some].astype(np.int64))], ["cell", "c"])
+
+        for b in slices(batches):
+            held += gram_sets(raw_texts(b), n)
+            size = sum(map(len, held))
+            if size > COUNTED:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
+
+    cells = docs.select("text").mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+    cells = materialize(cells.select("cell", F.least(F.lit(63), F.floor(3 * F.log2("c"))).cast("tinyint").alias("level")), "levels")
+    left, least = OFTEN, 64
+    for r in sorted(cells.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # at most 64 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    got = cells.where(F.col("level") >= least).toArrow()
+    drop_materialized(cells)
+    out = np.zeros(1 << (64 - int(CELL)), np.uint8)
+    out[got["cell"].to_numpy()] = got["level"].to_numpy()
+    return out
 
 
 def _pair_up(sig: np.ndarray, ids: np.ndarray, wild: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,11 +266,10 @@ def forest(sets: list[np.ndarray], limit: Fraction, side: np.ndarray | None = No
     return links
 
 
-def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int) -> DataFrame:
+def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int, levels: Broadcast) -> DataFrame:
     """kind 0: a document's id, set size, key and bitmap; 1 and 2: a bucket's signatures and ids (2: wild ones); 3: pairs of ids that need no test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(limit)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: dict[bytes, int] = {}
         copies: list[tuple[int, int]] = []
@@ -296,7 +309,7 @@ def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int) -> DataF
                     copies.append((seen[k], i))
                     continue
                 seen[k] = i
-                got = bands.signatures(s)
+                got = prefix(s, limit, levels.value)
                 held.append((got, np.full(len(got), i, np.int64)))
                 size += len(got)
             if size >= BATCH:
@@ -434,7 +447,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4
     prepare_workers(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = max(64, min(1 << 20, plain.count() // BUCKET_DOCS))
-    first = materialize(_first_pass(plain, n, limit, buckets), "grams")
+    levels = spark.sparkContext.broadcast(_levels(plain, n))
+    first = materialize(_first_pass(plain, n, limit, buckets, levels), "grams")
+    levels.destroy()
     sets = first.where("kind = 0").select("id", "n", "key")
     met = materialize(_bucket_pairs(first.where("kind in (1, 2)").select("kind", "bucket", "x", "y")), "met")
     few = met.where("not sure").select("a", "b").distinct()

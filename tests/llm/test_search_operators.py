@@ -326,3 +326,32 @@ def test_pipeline(spark, tmp_path):
 def test_queries_are_registered():
     names = [n for n in queries.QUERIES if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+
+
+def test_signatures_of_sets_that_link_meet_and_others_seldom():
+    """Any order of n-grams lets linked sets meet; unrelated texts that share frequent n-grams don't (parts without n-grams once made all meet)."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    levels = rng.integers(0, 64, 1 << (64 - int(ngram_join.CELL))).astype(np.uint8)
+    for limit in (Fraction(4, 5), Fraction(9, 10)):
+        for n in (1, 2, 5, 9, 10, 40, 333):
+            for _ in range(40):
+                base = draw(n)
+                most = int((1 - limit) / (1 + limit) * 2 * n)
+                other = np.unique(np.concatenate([rng.permutation(base)[: n - rng.integers(0, most + 1)], draw(rng.integers(0, most + 1))]))
+                if len(np.intersect1d(base, other)) >= limit * len(np.union1d(base, other)):
+                    assert len(np.intersect1d(ngram_join.prefix(base, limit, levels), ngram_join.prefix(other, limit, levels)))
+    often, levels = draw(100), np.zeros_like(levels)
+    levels[(often >> ngram_join.CELL).astype(np.int64)] = 20
+    sigs = [ngram_join.prefix(np.unique(np.concatenate([often, draw(300)])), Fraction(4, 5), levels) for _ in range(50)]
+    assert len(np.unique(np.concatenate(sigs))) == sum(map(len, sigs))
+
+
+def test_frequent_ngrams_are_counted(spark):
+    rng = random.Random(6)
+    shared = sentence(rng, 30)
+    texts = [sentence(rng, 40) + " " + shared for _ in range(40)] + [None, ""]
+    levels = ngram_join._levels(docs(spark, texts).select("text"), 5)
+    inside, own = ngram_join.gram_sets([shared.encode(), texts[0].encode()], 5)
+    level = levels[(inside >> ngram_join.CELL).astype(np.int64)]
+    assert level.min() >= 3 and np.count_nonzero(levels) <= 2 * len(inside) and len(own) > len(inside)
