@@ -29,6 +29,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from raggedlake.llm.text import WordIds, column, slices, spaced_words, texts
 from raggedlake.plans.session import drop_materialized, materialize, prepare_workers, table
 
-#: Text bytes after which a row is sent; pieces that a task remembers before it starts again; bytes of a piece that is folded.
-CHUNK, PIECES, LONG = 2 << 20, 300_000, 256
-#: Pieces whose ids are broadcast, at most.
-COMMON = 400_000
+#: Text bytes after which a row is sent; pieces that a task remembers before it starts again, and words; bytes of a piece that is folded.
+CHUNK, PIECES, WORDS, LONG = 2 << 20, 300_000, 250_000, 256
+#: Pieces whose ids are broadcast, at most; pieces of a text that are put together at a time.
+COMMON, STEP = 400_000, 1 << 16
 #: Bits of a piece's places, and of a rank, in the fold's keys.
 PLACE, RANK = 16, 20
 FREE = ((1 << 22) - 1) << RANK
@@ -201,23 +202,24 @@ def common_pieces(docs: DataFrame, pattern: str, most: int = COMMON) -> DataFram
     return counted.where(F.col("bucket") >= least).select("piece")
 
 
-def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], np.ndarray, np.ndarray, list[bytes]]:
-    """Pieces, how many ids each has, these one after the other, and their bytes; at most COMMON pieces."""
+def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces, and of each how many ids and bytes it has, and these one after the other; at most COMMON pieces."""
     if pieces is None:
-        return [], np.empty(0, np.int64), np.empty(0, np.int32), []
+        return [], (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8))
     rows = pieces.groupBy(F.spark_partition_id(), F.pmod(F.xxhash64("piece"), F.lit(64))).agg(F.collect_list("piece").alias("pieces"))
     rows = rows.select("pieces", encode_pieces(F.col("pieces"), path).alias("enc")).toArrow()
     drop_materialized(pieces)
     rows = rows.combine_chunks()
     names = [p for c in rows["pieces"].chunks for p in c.flatten().to_pylist()]
     enc = [c.flatten() for c in rows["enc"].chunks]
-    size = np.concatenate([np.empty(0, np.int64), *(e.value_lengths().to_numpy().astype(np.int64) for e in enc)])
+    size = np.concatenate([np.empty(0, np.int32), *(e.value_lengths().to_numpy() for e in enc)])
     flat = np.concatenate([np.empty(0, np.int32), *(e.flatten().to_numpy() for e in enc)])
     raw = [p.encode("latin-1") for p in names]
-    return [r.decode() for r in raw], size, flat, raw
+    n_bytes = np.fromiter(map(len, raw), np.int32, len(raw))
+    return [r.decode() for r in raw], (size, flat, n_bytes, np.frombuffer(b"".join(raw), np.uint8))
 
 
-def chunks(docs: DataFrame, pattern: str, shared, ranks, chunk: int = CHUNK) -> DataFrame:
+def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) -> DataFrame:
     """(ids, places, sizes, begin, pieces, long): a chunk's row ids, its texts' pieces as positions, how many each has, whether
     positions begin anew, the new pieces to fold, and the ids of the new long ones.
 
@@ -228,7 +230,7 @@ def chunks(docs: DataFrame, pattern: str, shared, ranks, chunk: int = CHUNK) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = regex.compile(pattern)
-        names = shared.value[0]
+        names = common.value
         index = dict(zip(names, range(len(names))))
         new, new_big = [], []
         known = big = 0  # pieces besides the common ones
@@ -293,7 +295,7 @@ def chunks(docs: DataFrame, pattern: str, shared, ranks, chunk: int = CHUNK) ->
                     known = big = 0
                     words.clear()
                     begin = True
-                elif len(words.index) > 2 * PIECES:
+                elif len(words.index) > WORDS:
                     words.clear()
         if ids:
             yield flush()
@@ -301,25 +303,32 @@ def chunks(docs: DataFrame, pattern: str, shared, ranks, chunk: int = CHUNK) ->
     return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, begin boolean, pieces array<string>, long array<array<int>>")
 
 
+def gathered(flat: np.ndarray, offs: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What flat holds at the places of these positions, one after the other."""
+    lens = size[at].astype(np.int64)
+    return flat[np.arange(int(lens.sum())) + np.repeat(offs[at] - (np.cumsum(lens) - lens), lens)]
+
+
 class Pieces:
-    """The ids and bytes of a task's pieces so far, by position."""
+    """The ids and bytes of a task's pieces so far, by position; plain arrays, as an object for each piece takes several times the memory."""
 
-    def __init__(self, size: np.ndarray, flat: np.ndarray, back: list[bytes]):
-        self.size, self.flat, self.back = size, flat, back[:]
-        self.offs = np.cumsum(size) - size
+    def __init__(self, size: np.ndarray, flat: np.ndarray, n_bytes: np.ndarray, back: np.ndarray):
+        self.size, self.flat, self.n_bytes, self.back = size, flat, n_bytes, back
+        self.offs, self.places = (np.cumsum(n, dtype=np.int64) - n for n in (size, n_bytes))
         self.long: list[tuple[np.ndarray, bytes]] = []
 
-    def add(self, enc: pa.ListArray, back: list[bytes], n_long: int) -> None:
+    def add(self, enc: pa.ListArray, dec: pa.BinaryArray, n_long: int) -> None:
         """Further pieces; the last n_long of them are the long ones."""
-        got = enc.value_lengths().to_numpy().astype(np.int64)
-        flat = enc.flatten().to_numpy()
-        n = len(got) - n_long
-        ends = np.cumsum(got)
-        short = int(ends[n - 1]) if n else 0
-        self.long += [(flat[e - c : e], w) for e, c, w in zip(ends[n:], got[n:], back[n:])]
-        self.offs = np.concatenate([self.offs, len(self.flat) + ends[:n] - got[:n]])
-        self.size, self.flat = np.concatenate([self.size, got[:n]]), np.concatenate([self.flat, flat[:short]])
-        self.back += back[:n]
+        n = len(enc) - n_long
+        for e, w in zip(enc[n:], dec[n:]):
+            self.long.append((np.array(e.as_py(), np.int32), w.as_py()))
+        enc, dec = enc[:n], dec[:n]
+        got, wide = enc.value_lengths().to_numpy(), pc.binary_length(dec).to_numpy()
+        self.offs = np.concatenate([self.offs, len(self.flat) + np.cumsum(got, dtype=np.int64) - got])
+        self.places = np.concatenate([self.places, len(self.back) + np.cumsum(wide, dtype=np.int64) - wide])
+        self.size, self.n_bytes = np.concatenate([self.size, got]), np.concatenate([self.n_bytes, wide])
+        self.flat = np.concatenate([self.flat, enc.flatten().to_numpy()])
+        self.back = np.concatenate([self.back, np.frombuffer(b"".join(dec.to_pylist()), np.uint8)])
 
     def text(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Ids and bytes of the pieces at these positions."""
@@ -331,10 +340,10 @@ class Pieces:
                     parts.append(self.long[-1 - int(at[c])])
                 start = c + 1
             return np.concatenate([p for p, _ in parts]), b"".join(w for _, w in parts)
-        lens = self.size[at]
-        total = int(lens.sum())
-        got = self.flat[np.arange(total) + np.repeat(self.offs[at] - (np.cumsum(lens) - lens), lens)]
-        return got, b"".join(map(self.back.__getitem__, at.tolist()))
+        if len(at) > STEP:
+            parts = [self.text(at[i : i + STEP]) for i in range(0, len(at), STEP)]
+            return np.concatenate([p for p, _ in parts]), b"".join(w for _, w in parts)
+        return gathered(self.flat, self.offs, self.size, at), gathered(self.back, self.places, self.n_bytes, at).tobytes()
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -343,9 +352,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     prepare_workers(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(fold_common(common_pieces(plain, pattern), path))
+    # one broadcast for each of the workers that a task has
+    names, found = fold_common(common_pieces(plain, pattern), path)
+    common, shared = map(spark.sparkContext.broadcast, (names, found))
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    rows = chunks(plain, pattern, shared, ranks)
+    rows = chunks(plain, pattern, common, ranks)
     rows = rows.select("ids", "places", "sizes", "begin", F.size("long").alias("n_long"), F.concat(encode_pieces(F.col("pieces"), path), F.col("long")).alias("enc"))
     rows = rows.withColumn("dec", decode_pieces(F.col("enc"), path))
 
@@ -355,8 +366,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             for r in range(b.num_rows):
                 one = b.slice(r, 1)
                 if have is None or column(one, "begin")[0].as_py():
-                    have = Pieces(*shared.value[1:])
-                have.add(column(one, "enc").flatten(), column(one, "dec").flatten().to_pylist(), column(one, "n_long")[0].as_py())
+                    have = Pieces(*shared.value)
+                have.add(column(one, "enc").flatten(), column(one, "dec").flatten(), column(one, "n_long")[0].as_py())
                 places = np.frombuffer(column(one, "places")[0].as_py(), "<i4")
                 sizes = np.frombuffer(column(one, "sizes")[0].as_py(), "<i8")
                 ids = column(one, "ids").flatten()
