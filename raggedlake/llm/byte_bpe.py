@@ -3,8 +3,8 @@
 A piece (a match of the splitting pattern) is an array of byte symbols; aggregate() folds the ranked merges over it, each
 step joining the neighbours of the lowest rank, the leftmost of equals, until no neighbours have a rank. A symbol is
 its token's rank. The rank map is a literal: pair (a, b) lies in slot shift[a] + b of one array, which holds a and the
-pair's rank (a displaced table; a look-up in a Spark map would read it from end to end). Decoding looks the ids up in a
-literal array and concatenates the pieces' bytes.
+pair's rank (a displaced table; a look-up in a Spark map would read it from end to end). Decoding looks each text's ids up in an
+array of the tokens' bytes.
 
 Each distinct piece is folded once where that is worth a look-up: pieces are counted over the whole table (one row a
 task and piece that its texts hold twice or more), those that most tasks meet, at most COMMON, are folded once and broadcast, and a
@@ -29,7 +29,6 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ from raggedlake.llm.text import WordIds, column, slices, spaced_words, texts
 from raggedlake.plans.session import drop_materialized, materialize, prepare_workers, table
 
 #: Text bytes after which a row is sent; pieces that a task remembers before it starts again, and words; bytes of a piece that is folded.
-CHUNK, PIECES, WORDS, LONG = 2 << 20, 300_000, 250_000, 256
+CHUNK, PIECES, WORDS, LONG = 2 << 20, 300_000, 400_000, 256
 #: Pieces whose ids are broadcast, at most; pieces of a text that are put together at a time.
 COMMON, STEP = 400_000, 1 << 16
 #: Bits of a piece's places, and of a rank, in the fold's keys.
@@ -88,11 +87,8 @@ def _literals(path: str) -> dict[str, str]:
     ranks = read_ranks(path)
     size = max(ranks.values()) + 1
     shift, slots = displaced(rank_pairs(ranks), size)
-    words = [b""] * size
-    for token, rank in ranks.items():
-        words[rank] = token
     write = lambda x: ",".join(map(str, x))
-    return {"shift": write(shift.tolist()), "slots": write(slots.tolist()), "bytes": write(ranks[bytes([i])] for i in range(256)), "words": write(w.hex() for w in words)}
+    return {"shift": write(shift.tolist()), "slots": write(slots.tolist()), "bytes": write(ranks[bytes([i])] for i in range(256))}
 
 
 def _array(text: str, kind: str) -> Column:
@@ -133,10 +129,13 @@ def encode_pieces(pieces: Column, path: str) -> Column:
     return _let(tables, "array<array<bigint>>", all_of).cast("array<array<int>>")
 
 
-def decode_pieces(ids: Column, path: str) -> Column:
-    """array<array<int>> of ids to array<binary>."""
-    words = F.split(F.lit(_literals(path)["words"]), ",")
-    return _let(words, "array<binary>", lambda t: F.transform(ids, lambda one: F.unhex(F.array_join(F.transform(one, lambda i: F.get(t, i)), ""))))
+def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes, and by rank where a token's begin and how many it has."""
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        size[rank] = len(token)
+    back = b"".join(sorted(ranks, key=ranks.get))
+    return np.frombuffer(back, np.uint8), np.cumsum(size) - size, size
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -202,10 +201,10 @@ def common_pieces(docs: DataFrame, pattern: str, most: int = COMMON) -> DataFram
     return counted.where(F.col("bucket") >= least).select("piece")
 
 
-def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces, and of each how many ids and bytes it has, and these one after the other; at most COMMON pieces."""
+def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
+    """Pieces, and how many ids each has and these one after the other; at most COMMON pieces."""
     if pieces is None:
-        return [], (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8))
+        return [], (np.empty(0, np.int32), np.empty(0, np.int32))
     rows = pieces.groupBy(F.spark_partition_id(), F.pmod(F.xxhash64("piece"), F.lit(64))).agg(F.collect_list("piece").alias("pieces"))
     rows = rows.select("pieces", encode_pieces(F.col("pieces"), path).alias("enc")).toArrow()
     drop_materialized(pieces)
@@ -214,9 +213,7 @@ def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], tuple[n
     enc = [c.flatten() for c in rows["enc"].chunks]
     size = np.concatenate([np.empty(0, np.int32), *(e.value_lengths().to_numpy() for e in enc)])
     flat = np.concatenate([np.empty(0, np.int32), *(e.flatten().to_numpy() for e in enc)])
-    raw = [p.encode("latin-1") for p in names]
-    n_bytes = np.fromiter(map(len, raw), np.int32, len(raw))
-    return [r.decode() for r in raw], (size, flat, n_bytes, np.frombuffer(b"".join(raw), np.uint8))
+    return [p.encode("latin-1").decode() for p in names], (size, flat)
 
 
 def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) -> DataFrame:
@@ -255,6 +252,11 @@ def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) ->
             return at
 
         def encode(got: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if all(w and not w[0].isspace() for w in got):  # at once: a piece that begins with a space begins a word
+                pieces = match.findall(" " + " ".join(got))
+                first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+                if len(first) == len(got):
+                    return place(pieces), np.diff(np.append(first, len(pieces)))
             found = [match.findall(" " + w) for w in got]
             return place(list(chain.from_iterable(found))), np.fromiter(map(len, found), np.int64, len(found))
 
@@ -310,28 +312,24 @@ def gathered(flat: np.ndarray, offs: np.ndarray, size: np.ndarray, at: np.ndarra
 
 
 class Pieces:
-    """The ids and bytes of a task's pieces so far, by position; plain arrays, as an object for each piece takes several times the memory."""
+    """The ids of a task's pieces so far, by position; plain arrays, as an object for each piece takes several times the memory."""
 
-    def __init__(self, size: np.ndarray, flat: np.ndarray, n_bytes: np.ndarray, back: np.ndarray):
-        self.size, self.flat, self.n_bytes, self.back = size, flat, n_bytes, back
-        self.offs, self.places = (np.cumsum(n, dtype=np.int64) - n for n in (size, n_bytes))
-        self.long: list[tuple[np.ndarray, bytes]] = []
+    def __init__(self, size: np.ndarray, flat: np.ndarray):
+        self.size, self.flat = size, flat
+        self.offs = np.cumsum(size, dtype=np.int64) - size
+        self.long: list[np.ndarray] = []
 
-    def add(self, enc: pa.ListArray, dec: pa.BinaryArray, n_long: int) -> None:
+    def add(self, enc: pa.ListArray, n_long: int) -> None:
         """Further pieces; the last n_long of them are the long ones."""
         n = len(enc) - n_long
-        for e, w in zip(enc[n:], dec[n:]):
-            self.long.append((np.array(e.as_py(), np.int32), w.as_py()))
-        enc, dec = enc[:n], dec[:n]
-        got, wide = enc.value_lengths().to_numpy(), pc.binary_length(dec).to_numpy()
+        self.long += [np.array(e.as_py(), np.int32) for e in enc[n:]]
+        enc = enc[:n]
+        got = enc.value_lengths().to_numpy()
         self.offs = np.concatenate([self.offs, len(self.flat) + np.cumsum(got, dtype=np.int64) - got])
-        self.places = np.concatenate([self.places, len(self.back) + np.cumsum(wide, dtype=np.int64) - wide])
-        self.size, self.n_bytes = np.concatenate([self.size, got]), np.concatenate([self.n_bytes, wide])
-        self.flat = np.concatenate([self.flat, enc.flatten().to_numpy()])
-        self.back = np.concatenate([self.back, np.frombuffer(b"".join(dec.to_pylist()), np.uint8)])
+        self.size, self.flat = np.concatenate([self.size, got]), np.concatenate([self.flat, enc.flatten().to_numpy()])
 
-    def text(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """Ids and bytes of the pieces at these positions."""
+    def text(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the pieces at these positions."""
         if self.long and len(at) and at.min() < 0:
             cut, start, parts = np.flatnonzero(at < 0), 0, []
             for c in [*cut.tolist(), len(at)]:
@@ -339,11 +337,10 @@ class Pieces:
                 if c < len(at):
                     parts.append(self.long[-1 - int(at[c])])
                 start = c + 1
-            return np.concatenate([p for p, _ in parts]), b"".join(w for _, w in parts)
+            return np.concatenate(parts)
         if len(at) > STEP:
-            parts = [self.text(at[i : i + STEP]) for i in range(0, len(at), STEP)]
-            return np.concatenate([p for p, _ in parts]), b"".join(w for _, w in parts)
-        return gathered(self.flat, self.offs, self.size, at), gathered(self.back, self.places, self.n_bytes, at).tobytes()
+            return np.concatenate([self.text(at[i : i + STEP]) for i in range(0, len(at), STEP)])
+        return gathered(self.flat, self.offs, self.size, at)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -355,10 +352,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     # one broadcast for each of the workers that a task has
     names, found = fold_common(common_pieces(plain, pattern), path)
     common, shared = map(spark.sparkContext.broadcast, (names, found))
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    of_tokens = read_ranks(path)
+    ranks, tokens = map(spark.sparkContext.broadcast, (of_tokens, token_bytes(of_tokens)))
     rows = chunks(plain, pattern, common, ranks)
     rows = rows.select("ids", "places", "sizes", "begin", F.size("long").alias("n_long"), F.concat(encode_pieces(F.col("pieces"), path), F.col("long")).alias("enc"))
-    rows = rows.withColumn("dec", decode_pieces(F.col("enc"), path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = None
@@ -367,7 +364,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 one = b.slice(r, 1)
                 if have is None or column(one, "begin")[0].as_py():
                     have = Pieces(*shared.value)
-                have.add(column(one, "enc").flatten(), column(one, "dec").flatten(), column(one, "n_long")[0].as_py())
+                have.add(column(one, "enc").flatten(), column(one, "n_long")[0].as_py())
                 places = np.frombuffer(column(one, "places")[0].as_py(), "<i4")
                 sizes = np.frombuffer(column(one, "sizes")[0].as_py(), "<i8")
                 ids = column(one, "ids").flatten()
@@ -375,8 +372,9 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 for s in range(0, len(sizes), step):
                     begin, out = int(sizes[:s].sum()), []
                     for n in sizes[s : s + step].tolist():
-                        got, back = have.text(places[begin : begin + n])
+                        got = have.text(places[begin : begin + n])
                         begin += n
+                        back = b"".join(gathered(*tokens.value, got[i : i + STEP]).tobytes() for i in range(0, len(got), STEP))
                         got = got.astype("<u4")
                         out.append((len(got), hashlib.sha256(got).hexdigest(), hashlib.sha256(back).hexdigest()) if digests else (got.astype(np.int32), back))
                     kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())

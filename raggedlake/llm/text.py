@@ -59,6 +59,8 @@ def spaced_words(text: str) -> tuple[str, list[str]]:
     match the text. A space between two white-space characters belongs to a longer run; such a text is all head.
     """
     words = text.split(" ")
+    if words == text.split():  # no other white space than single spaces
+        return words[0], words[1:]
     for a, b in zip(words, words[1:]):
         if (not a or a[-1].isspace()) and (not b or b[0].isspace()):
             return text, []
