@@ -2,11 +2,14 @@
 
 Documents link when their sets of word n-grams reach the Jaccard limit. Three steps, none of which loses a link:
 
-1. Where two sets can meet. All n-grams have one order, the frequent ones last. Sets of which the larger has m n-grams
-   share limit * m of them at least, so each set's first m - limit * m + 1 n-grams hold one that is among the other's,
-   too (prefix filtering). These are the set's signatures, and equal signatures make candidate pairs. Frequencies are
-   counted over all texts, but only where a worker's batch has an n-gram twice, and kept by hash in a table of fixed
-   size: that decides the order, hence how many pairs are tested, never a result. Where few documents have a
+1. Where two sets can meet: equal signatures make candidate pairs, and sets that link have one in common. A high limit
+   (from about 9/10) takes parts: linked sets differ in at most d n-grams, d fixed by the limit and the larger set; the
+   n-grams are dealt by hash into d + 1 parts, one of which is then the same in both. Sizes are banded so that both
+   documents use the same number of parts. At lower limits parts are so thin that unrelated sets share empty ones, so
+   there the n-grams have one order, the frequent ones last, and a set of m n-grams takes its first m - limit * m + 1
+   (prefix filtering: linked sets share limit * m at least). Frequencies are counted over all texts, where a worker's
+   batch has an n-gram twice, and kept by hash in a table of fixed size: that decides the order, hence how many pairs
+   are tested, never a result. Where few documents have a
    signature, each pair of them is tested by size and by bitmaps of parities, which can only rule out what can't link. Where many have
    it, all are paired with the smallest id. A worker does this among its own rows first and passes on only the
    smallest id of many: a signature that a third of all documents share is one entry from each worker's batch.
@@ -87,6 +90,46 @@ def gram_sets(raw: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+class Bands:
+    """Size bands and parts for a Jaccard limit: linked sets, the larger in a band, have one of its parts in common."""
+
+    def __init__(self, limit: Fraction):
+        self.limit, self.ratio = limit, max(Fraction(3, 2), 1 / limit)
+
+    def thin(self) -> bool:
+        """Whether parts can hold fewer than six n-grams on average, so that many are empty, or one n-gram, in unrelated sets."""
+        return 6 * self.ratio * 2 * (1 - self.limit) / (1 + self.limit) > 1
+
+    def band(self, size: int) -> int:
+        b, top = 0, Fraction(1)
+        while top < size:
+            b, top = b + 1, top * self.ratio
+        return b
+
+    def top(self, band: int) -> int:
+        return int(self.ratio**band)
+
+    def parts(self, band: int) -> int:
+        """One more than the most n-grams by which linked sets, the larger in this band, can differ."""
+        return int((1 - self.limit) / (1 + self.limit) * 2 * self.top(band)) + 1
+
+    def signatures(self, grams: np.ndarray) -> np.ndarray:
+        size = len(grams)
+        b = self.band(size)
+        out = []
+        for band in (b, b + 1) if int(size / self.limit) > self.top(b) else (b,):
+            k = self.parts(band)
+            part = (mix(grams + _M1) >> np.uint64(20)) % np.uint64(k)
+            order = np.argsort(part, kind="stable")
+            p = part[order]
+            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            with np.errstate(over="ignore"):
+                sums = np.zeros(k, np.uint64)
+                sums[p[first]] = np.add.reduceat(mix(grams)[order], first)
+                out.append(mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)) * _M1))
+        return np.concatenate(out)
+
+
 def prefix(grams: np.ndarray, limit: Fraction, levels: np.ndarray) -> np.ndarray:
     """A set's signatures: its first n-grams in the order of levels, then hashes; one at least is among those of any set that links with it."""
     size = len(grams)
@@ -266,10 +309,11 @@ def forest(sets: list[np.ndarray], limit: Fraction, side: np.ndarray | None = No
     return links
 
 
-def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int, levels: Broadcast) -> DataFrame:
+def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int, levels: Broadcast | None) -> DataFrame:
     """kind 0: a document's id, set size, key and bitmap; 1 and 2: a bucket's signatures and ids (2: wild ones); 3: pairs of ids that need no test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(limit)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: dict[bytes, int] = {}
         copies: list[tuple[int, int]] = []
@@ -309,7 +353,7 @@ def _first_pass(docs: DataFrame, n: int, limit: Fraction, buckets: int, levels:
                     copies.append((seen[k], i))
                     continue
                 seen[k] = i
-                got = prefix(s, limit, levels.value)
+                got = bands.signatures(s) if levels is None else prefix(s, limit, levels.value)
                 held.append((got, np.full(len(got), i, np.int64)))
                 size += len(got)
             if size >= BATCH:
@@ -447,9 +491,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, limit: Fraction = Fraction(4
     prepare_workers(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = max(64, min(1 << 20, plain.count() // BUCKET_DOCS))
-    levels = spark.sparkContext.broadcast(_levels(plain, n))
+    levels = spark.sparkContext.broadcast(_levels(plain, n)) if Bands(limit).thin() else None
     first = materialize(_first_pass(plain, n, limit, buckets, levels), "grams")
-    levels.destroy()
+    if levels is not None:
+        levels.destroy()
     sets = first.where("kind = 0").select("id", "n", "key")
     met = materialize(_bucket_pairs(first.where("kind in (1, 2)").select("kind", "bucket", "x", "y")), "met")
     few = met.where("not sure").select("a", "b").distinct()

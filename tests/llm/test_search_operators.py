@@ -355,3 +355,7 @@ def test_frequent_ngrams_are_counted(spark):
     inside, own = ngram_join.gram_sets([shared.encode(), texts[0].encode()], 5)
     level = levels[(inside >> ngram_join.CELL).astype(np.int64)]
     assert level.min() >= 3 and np.count_nonzero(levels) <= 2 * len(inside) and len(own) > len(inside)
+
+
+def test_parts_are_for_high_limits():
+    assert not ngram_join.Bands(Fraction(9, 10)).thin() and ngram_join.Bands(Fraction(4, 5)).thin()
