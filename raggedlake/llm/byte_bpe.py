@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A piece (a match of the splitting pattern) is an array of byte symbols; aggregate() folds the ranked merges over it, each
-step joining the neighbours of the lowest rank, the leftmost of equals, until no neighbours have a rank. A symbol is
-its token's rank. The rank map is a literal: pair (a, b) lies in slot shift[a] + b of one array, which holds a and the
-pair's rank (a displaced table; a look-up in a Spark map would read it from end to end). Decoding looks each text's ids up in an
-array of the tokens' bytes.
+A piece (a match of the splitting pattern) is an array of cells, one a byte at first and one more at each end; aggregate() folds the
+ranked merges over it, each step joining the neighbours of the lowest rank, the leftmost of equals, until no neighbours have a
+rank. A cell is one number: the symbol that it and its right neighbour make, its place, and its own symbol; so the least cell is the
+next merge, and a merge looks up two pairs, whatever the piece's length. A symbol is its token's rank and one. The rank map is a
+literal: pair (a, b) lies in slot shift[a] + b of one array, which holds a and the pair's symbol (a displaced table; a look-up in a
+Spark map would read it from end to end). Decoding looks each text's ids up in an array of the tokens' bytes.
 
 Each distinct piece is folded once where that is worth a look-up: pieces are counted over the whole table (one row a
 task and piece that its texts hold twice or more), those that most tasks meet, at most COMMON, are folded once and broadcast, and a
@@ -37,12 +38,19 @@ from raggedlake.llm.text import WordIds, column, slices, spaced_words, texts
 from raggedlake.plans.session import drop_materialized, materialize, prepare_workers, table
 
 #: Text bytes after which a row is sent; pieces that a task remembers before it starts again, and words; bytes of a piece that is folded.
-CHUNK, PIECES, WORDS, LONG = 2 << 20, 300_000, 400_000, 256
+CHUNK, PIECES, WORDS, LONG = 2 << 20, 300_000, 200_000, 256
+#: Text bytes that a worker reads at a time, and new pieces after which a row is sent, as their cells take many times their bytes.
+READ, NEW = 1 << 18, 8_192
 #: Pieces whose ids are broadcast, at most; pieces of a text that are put together at a time.
 COMMON, STEP = 400_000, 1 << 16
-#: Bits of a piece's places, and of a rank, in the fold's keys.
-PLACE, RANK = 16, 20
+#: Bits of a rank in a displaced table, and what a free slot of it holds.
+RANK = 20
 FREE = ((1 << 22) - 1) << RANK
+#: Bits of a cell's place and of a symbol. A cell is, from the top: left symbol of the slot XOR its own (0: the pair has a rank), the
+#: pair's symbol, its own, its place: 63 bits.
+PLACE, SYMBOL = 9, 18
+PAIR = PLACE + SYMBOL
+NO_PAIR = 1 << (PAIR + SYMBOL)
 NOWHERE = -(1 << 31)
 
 
@@ -82,51 +90,82 @@ def displaced(pairs: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray,
     return shift, slots
 
 
+class Merges:
+    """The displaced table of a file's pairs (0 in free slots), the bytes' symbols, and the symbol of an end, which no pair has."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.end = max(ranks.values()) + 2
+        if self.end >= 1 << SYMBOL:
+            raise ValueError(f"ranks from {(1 << SYMBOL) - 2} on don't fit the fold's cells")
+        self.shift, slots = displaced(rank_pairs(ranks) + 1, self.end + 1)
+        self.slots = np.where(slots == FREE, 0, (slots >> RANK << SYMBOL) | (slots & ((1 << RANK) - 1)))
+        self.bytes = np.array([ranks[bytes([i])] + 1 for i in range(256)])
+
+    def cells(self, pieces: list[bytes]) -> pa.ListArray:
+        """A piece's cells before any merge; pieces have at most LONG bytes."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 2
+        ends = np.cumsum(size)
+        own = np.full(int(size.sum()), self.end, np.int64)
+        place = np.arange(len(own)) - np.repeat(ends - size, size)
+        own[(place > 0) & (place < np.repeat(size - 1, size))] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        pair = self.slots[self.shift[own] + np.append(own[1:], self.end)[: len(own)]] ^ (own << SYMBOL)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array((pair << PAIR) | (own << PLACE) | place))
+
+
+def ids_of(cells: pa.ListArray) -> pa.ListArray:
+    """The ids of pieces, of their cells after all merges."""
+    size = cells.value_lengths().to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    inner = np.ones(int(size.sum()), bool)
+    inner[ends - size] = inner[ends - 1] = False
+    ids = ((cells.flatten().to_numpy()[inner] >> PLACE) & ((1 << SYMBOL) - 1)) - 1
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size - 2)), pa.int32()), pa.array(ids, pa.int32()))
+
+
 @lru_cache(maxsize=2)
-def _literals(path: str) -> dict[str, str]:
-    ranks = read_ranks(path)
-    size = max(ranks.values()) + 1
-    shift, slots = displaced(rank_pairs(ranks), size)
-    write = lambda x: ",".join(map(str, x))
-    return {"shift": write(shift.tolist()), "slots": write(slots.tolist()), "bytes": write(ranks[bytes([i])] for i in range(256))}
+def _merges(path: str) -> Merges:
+    return Merges(read_ranks(path))
 
 
-def _array(text: str, kind: str) -> Column:
-    return F.split(F.lit(text), ",").cast(f"array<{kind}>")  # folded to a literal by the optimizer
+@lru_cache(maxsize=2)
+def _literals(path: str) -> tuple[str, str]:
+    found = _merges(path)
+    return tuple(",".join(map(str, x.tolist())) for x in (found.shift, found.slots))
+
 
+def _if(condition: Column, value: Column, other: Column) -> Column:
+    return F.call_function("if", condition, value, other)
 
-def _let(value: Column, kind: str, body) -> Column:
-    """body(value), of type kind, with value computed once."""
-    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
+def merge_pieces(pieces: Column, path: str) -> Column:
+    """array<array<bigint>>: the cells of pieces, to those after all merges."""
+    # folded to literals by the optimizer; a variable in their place would have the fold's result copied once more
+    shift, slots = (F.split(F.lit(x), ",").cast("array<bigint>") for x in _literals(path))
+    number = lambda n: F.lit(n).cast("bigint")
+    places, symbols, one = number((1 << PLACE) - 1), number((1 << SYMBOL) - 1), number(1)
 
-def encode_pieces(pieces: Column, path: str) -> Column:
-    """array<string> of pieces (bytes as characters 0..255) to array<array<int>> of ids."""
-    lit = _literals(path)
-    tables = F.struct(_array(lit["shift"], "int").alias("shift"), _array(lit["slots"], "bigint").alias("slots"), _array(lit["bytes"], "bigint").alias("bytes"))
+    def pair(a: Column, b: Column) -> Column:
+        return F.shiftleft(slots[shift[a] + b].bitwiseXOR(F.shiftleft(a, SYMBOL)), PAIR)
 
-    def all_of(t: Column) -> Column:
-        def key(a: Column, b: Column, k: Column) -> Column:
-            """rank << PLACE | k; where the slot is free or another pair's, bits above RANK + PLACE are set."""
-            found = F.get(t["slots"], F.get(t["shift"], a.cast("int")) + b.cast("int"))
-            return F.shiftleft(found.bitwiseXOR(F.shiftleft(a, RANK)), PLACE).bitwiseOR(k)
+    def symbol(cell: Column) -> Column:
+        return F.shiftright(cell, PLACE).bitwiseAND(symbols)
 
-        def step(parts: Column, _: Column) -> Column:
-            def join(low: Column) -> Column:
-                k = low.bitwiseAND((1 << PLACE) - 1).cast("int")
-                merged = F.concat(F.slice(parts, F.lit(1), k), F.array(F.shiftright(low, PLACE)), F.slice(parts, k + 3, F.size(parts)))
-                return F.when(low < (1 << (RANK + PLACE)), merged).otherwise(parts)
+    def step(cells: Column, _: Column) -> Column:
+        def join(low: Column) -> Column:
+            """The least cell takes its right neighbour in: that goes, those after it move up, the one before has another pair."""
+            k, new = low.bitwiseAND(places), F.shiftright(low, PAIR)
+            joined = pair(new, symbol(cells[k + number(2)])).bitwiseOR(F.shiftleft(new, PLACE)).bitwiseOR(k)
 
-            keys = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, k: key(F.get(parts, k), b, k))
-            return F.when(F.size(parts) > 1, _let(F.array_min(keys), "array<bigint>", join)).otherwise(parts)
+            def each(cell: Column) -> Column:
+                at = cell.bitwiseAND(places)
+                before = pair(symbol(cell), new).bitwiseOR(cell.bitwiseAND(number((1 << PAIR) - 1)))
+                return _if(at > k, cell - one, _if(cell == low, joined, _if(at == k - one, before, cell)))
 
-        def one(piece: Column) -> Column:
-            parts = F.transform(F.split(piece, ""), lambda c: F.get(t["bytes"], F.ascii(c)))
-            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1))), parts, step)
+            return _if(low < number(NO_PAIR), F.transform(F.array_remove(cells, cells[k + one]), each), cells)
 
-        return F.transform(pieces, one)
+        return F.aggregate(F.array(F.array_min(cells)), F.lit(None).cast("array<bigint>"), lambda _, low: join(low))
 
-    return _let(tables, "array<array<bigint>>", all_of).cast("array<array<int>>")
+    return F.transform(pieces, lambda cells: F.aggregate(cells, cells, step))
 
 
 def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,24 +240,38 @@ def common_pieces(docs: DataFrame, pattern: str, most: int = COMMON) -> DataFram
     return counted.where(F.col("bucket") >= least).select("piece")
 
 
-def fold_common(pieces: DataFrame | None, path: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
+def _one(values: pa.Array) -> pa.ListArray:
+    """A list array with all values in one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def fold_common(pieces: DataFrame | None, path: str, merges) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
     """Pieces, and how many ids each has and these one after the other; at most COMMON pieces."""
     if pieces is None:
         return [], (np.empty(0, np.int32), np.empty(0, np.int32))
     rows = pieces.groupBy(F.spark_partition_id(), F.pmod(F.xxhash64("piece"), F.lit(64))).agg(F.collect_list("piece").alias("pieces"))
-    rows = rows.select("pieces", encode_pieces(F.col("pieces"), path).alias("enc")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                got = column(b.slice(r, 1), "pieces")
+                cells = merges.value.cells([p.encode("latin-1") for p in got[0].as_py()])
+                yield pa.RecordBatch.from_arrays([got, _one(cells)], ["pieces", "cells"])
+
+    rows = rows.select("pieces").mapInArrow(run, "pieces array<string>, cells array<array<bigint>>")
+    rows = rows.select("pieces", merge_pieces(F.col("cells"), path).alias("enc")).toArrow()
     drop_materialized(pieces)
     rows = rows.combine_chunks()
     names = [p for c in rows["pieces"].chunks for p in c.flatten().to_pylist()]
-    enc = [c.flatten() for c in rows["enc"].chunks]
+    enc = [ids_of(c.flatten()) for c in rows["enc"].chunks]
     size = np.concatenate([np.empty(0, np.int32), *(e.value_lengths().to_numpy() for e in enc)])
     flat = np.concatenate([np.empty(0, np.int32), *(e.flatten().to_numpy() for e in enc)])
     return [p.encode("latin-1").decode() for p in names], (size, flat)
 
 
-def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) -> DataFrame:
-    """(ids, places, sizes, begin, pieces, long): a chunk's row ids, its texts' pieces as positions, how many each has, whether
-    positions begin anew, the new pieces to fold, and the ids of the new long ones.
+def chunks(docs: DataFrame, pattern: str, common, ranks, merges, chunk: int = CHUNK) -> DataFrame:
+    """(ids, places, sizes, begin, cells, long): a chunk's row ids, its texts' pieces as positions, how many each has, whether
+    positions begin anew, the cells of the new pieces to fold, and the ids of the new long ones.
 
     A position from 0 is a common piece, then those to fold follow; from -1 downward are the long ones. Rows of one
     task belong together, in order.
@@ -240,14 +293,15 @@ def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) ->
             if len(miss):
                 missed = [pieces[i] for i in miss.tolist()]
                 for p in dict.fromkeys(missed):
-                    if len(p) > LONG // 4 and len(raw := p.encode()) > LONG:
+                    raw = p.encode()
+                    if len(raw) > LONG:
                         big += 1
                         index[p] = -big
                         new_big.append(heap_merge(raw, ranks.value))
                     else:
                         index[p] = len(names) + known
                         known += 1
-                        new.append(_letters(p))
+                        new.append(raw)
                 at[miss] = np.fromiter(map(index.__getitem__, missed), np.int32, len(missed))
             return at
 
@@ -270,12 +324,12 @@ def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) ->
                 pa.array([np.concatenate(places).astype("<i4").tobytes()]),
                 pa.array([np.array(sizes, "<i8").tobytes()]),
                 pa.array([begin]),
-                pa.array([new], pa.list_(pa.string())),
+                _one(merges.value.cells(new)),
                 pa.array([new_big], pa.list_(pa.list_(pa.int32()))),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["ids", "places", "sizes", "begin", "pieces", "long"])
+            return pa.RecordBatch.from_arrays(cols, ["ids", "places", "sizes", "begin", "cells", "long"])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=READ):
             id_type = column(b, "id").type
             got = texts(b)
             split = [spaced_words(t) for t in got]
@@ -287,7 +341,7 @@ def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) ->
                 sizes.append(len(places[-1]))
             ids += column(b, "id").to_pylist()
             held += sum(map(len, got))
-            if held >= chunk:
+            if held >= chunk or len(new) >= NEW:
                 yield flush()
                 ids, places, sizes, held, begin = [], [], [], 0, False
                 new.clear()
@@ -302,7 +356,7 @@ def chunks(docs: DataFrame, pattern: str, common, ranks, chunk: int = CHUNK) ->
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, begin boolean, pieces array<string>, long array<array<int>>")
+    return docs.mapInArrow(run, f"ids array<{kind}>, places binary, sizes binary, begin boolean, cells array<array<bigint>>, long array<array<int>>")
 
 
 def gathered(flat: np.ndarray, offs: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -350,12 +404,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # one broadcast for each of the workers that a task has
-    names, found = fold_common(common_pieces(plain, pattern), path)
+    merges = spark.sparkContext.broadcast(_merges(path))
+    names, found = fold_common(common_pieces(plain, pattern), path, merges)
     common, shared = map(spark.sparkContext.broadcast, (names, found))
     of_tokens = read_ranks(path)
     ranks, tokens = map(spark.sparkContext.broadcast, (of_tokens, token_bytes(of_tokens)))
-    rows = chunks(plain, pattern, common, ranks)
-    rows = rows.select("ids", "places", "sizes", "begin", F.size("long").alias("n_long"), F.concat(encode_pieces(F.col("pieces"), path), F.col("long")).alias("enc"))
+    rows = chunks(plain, pattern, common, ranks, merges)
+    rows = rows.select("ids", "places", "sizes", "begin", "long", merge_pieces(F.col("cells"), path).alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = None
@@ -364,7 +419,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 one = b.slice(r, 1)
                 if have is None or column(one, "begin")[0].as_py():
                     have = Pieces(*shared.value)
-                have.add(column(one, "enc").flatten(), column(one, "n_long")[0].as_py())
+                long = column(one, "long").flatten()
+                have.add(pa.concat_arrays([ids_of(column(one, "cells").flatten()), long]), len(long))
                 places = np.frombuffer(column(one, "places")[0].as_py(), "<i4")
                 sizes = np.frombuffer(column(one, "sizes")[0].as_py(), "<i8")
                 ids = column(one, "ids").flatten()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 #: Words an encoder's cache holds before it starts again.
 CACHE_WORDS = 1_000_000
+#: Finds a space with white space or an end of the text on both sides.
+APART = re.compile(r" (?!\S)(?<!\S )").search
 
 
 def byte_chars() -> dict[str, int]:
@@ -58,12 +61,9 @@ def spaced_words(text: str) -> tuple[str, list[str]]:
     Splitting patterns that attach a space to the following word match head and words separately just as they
     match the text. A space between two white-space characters belongs to a longer run; such a text is all head.
     """
+    if APART(text):
+        return text, []
     words = text.split(" ")
-    if words == text.split():  # no other white space than single spaces
-        return words[0], words[1:]
-    for a, b in zip(words, words[1:]):
-        if (not a or a[-1].isspace()) and (not b or b[0].isspace()):
-            return text, []
     return words[0], words[1:]
 
 

@@ -410,3 +410,47 @@ def test_pieces_are_held_in_plain_arrays():
     assert have.text(at).tolist() == [i for x in want for i in x]
     flat, offs, size = byte_bpe.token_bytes({b"b": 0, b"": 1, b"ab": 3})
     assert byte_bpe.gathered(flat, offs, size, np.array([3, 0, 1, 3])).tobytes() == b"abbab"
+
+
+def test_byte_bpe_cells(spark):
+    """A merge looks up the pairs on its two sides alone: the fold's cells equal tiktoken for pieces of any length; rows hold a bounded number of new pieces."""
+    import random
+    import types
+
+    import pyarrow as pa
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    some = lambda n, k: bytes(rng.choice(k) for _ in range(n))
+    pieces = [some(rng.randrange(1, 20), b" etaoinshrdlu") for _ in range(400)] + [some(rng.randrange(1, 9), range(256)) for _ in range(200)]
+    pieces += [b"a" * n for n in range(1, 40)] + [b"\x00", b"\xff", b" ", some(byte_bpe.LONG, b"etaoin"), b" " * byte_bpe.LONG]
+    merges = byte_bpe._merges(path)
+    cells = merges.cells(pieces)
+    rows = spark.createDataFrame([(cells[:300].to_pylist(),), (cells[300:].to_pylist(),), ([],)], "cells array<array<bigint>>").coalesce(1)
+    got = [r["c"] for r in rows.select(byte_bpe.merge_pieces(F.col("cells"), path).alias("c")).collect()]
+    assert [len(g) for g in got] == [300, len(pieces) - 300, 0]
+    ids = byte_bpe.ids_of(pa.array([c for g in got for c in g], pa.list_(pa.int64()))).to_pylist()
+    assert ids == [lib._core_bpe.encode_single_piece(p) for p in pieces]
+    assert byte_bpe.ids_of(merges.cells([])).to_pylist() == [] and byte_bpe.ids_of(merges.cells([b""])).to_pylist() == [[]]
+    with pytest.raises(ValueError):
+        byte_bpe.Merges({bytes([i]): i for i in range(256)} | {b"ab": 1 << byte_bpe.SYMBOL})
+
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(12))
+    new = docs(spark, [" ".join(word() for _ in range(2_000)) for _ in range(40)]).coalesce(1).withColumnRenamed("doc_id", "id")
+    held = lambda x: types.SimpleNamespace(value=x)
+    sizes = [r["n"] for r in byte_bpe.chunks(new, P.PATTERN, held([]), held(ranks), held(merges)).select(F.size("cells").alias("n")).collect()]
+    assert sum(sizes) > 79_000 and max(sizes) < byte_bpe.NEW + byte_bpe.READ // 12
+
+
+def test_words_after_spaces():
+    """Only a space with white space or an end of the text on both sides keeps a text whole."""
+    from raggedlake.llm.text import spaced_words
+
+    for whole in ("a   b", " ", "a \n \x85b", "  a", "a  "):
+        assert spaced_words(whole) == (whole, [])
+    assert spaced_words("a b\nc  d") == ("a", ["b\nc", "", "d"]) and spaced_words("a\n b") == ("a\n", ["b"])
+    assert spaced_words("") == ("", []) and spaced_words(" a") == ("", ["a"]) and spaced_words("a ") == ("a", [""])
