@@ -21,6 +21,8 @@ Defined results: a null text is empty: no ids. Rows may repeat. Columns other th
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import hashlib
 import heapq
 from collections import Counter
@@ -38,9 +40,9 @@ from raggedlake.llm.text import WordIds, column, slices, spaced_words, texts
 from raggedlake.plans.session import drop_materialized, materialize, prepare_workers, table
 
 #: Text bytes after which a row is sent; pieces that a task remembers before it starts again, and words; bytes of a piece that is folded.
-CHUNK, PIECES, WORDS, LONG = 2 << 20, 300_000, 200_000, 256
+CHUNK, PIECES, WORDS, LONG = 1 << 19, 300_000, 200_000, 256
 #: Text bytes that a worker reads at a time, and new pieces after which a row is sent, as their cells take many times their bytes.
-READ, NEW = 1 << 18, 8_192
+READ, NEW = 1 << 18, 4_096
 #: Pieces whose ids are broadcast, at most; pieces of a text that are put together at a time.
 COMMON, STEP = 400_000, 1 << 16
 #: Bits of a rank in a displaced table, and what a free slot of it holds.
@@ -240,6 +242,12 @@ def common_pieces(docs: DataFrame, pattern: str, most: int = COMMON) -> DataFram
     return counted.where(F.col("bucket") >= least).select("piece")
 
 
+def _trim() -> None:
+    """Give back what an earlier task of this worker has freed in the middle of its heap."""
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _one(values: pa.Array) -> pa.ListArray:
     """A list array with all values in one row."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -258,12 +266,18 @@ def fold_common(pieces: DataFrame | None, path: str, merges) -> tuple[list[str],
                 cells = merges.value.cells([p.encode("latin-1") for p in got[0].as_py()])
                 yield pa.RecordBatch.from_arrays([got, _one(cells)], ["pieces", "cells"])
 
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                one = b.slice(r, 1)
+                yield pa.RecordBatch.from_arrays([column(one, "pieces"), _one(ids_of(column(one, "cells").flatten()))], ["pieces", "enc"])
+
     rows = rows.select("pieces").mapInArrow(run, "pieces array<string>, cells array<array<bigint>>")
-    rows = rows.select("pieces", merge_pieces(F.col("cells"), path).alias("enc")).toArrow()
+    rows = rows.select("pieces", merge_pieces(F.col("cells"), path).alias("cells")).mapInArrow(ids, "pieces array<string>, enc array<array<int>>").toArrow()
     drop_materialized(pieces)
     rows = rows.combine_chunks()
     names = [p for c in rows["pieces"].chunks for p in c.flatten().to_pylist()]
-    enc = [ids_of(c.flatten()) for c in rows["enc"].chunks]
+    enc = [c.flatten() for c in rows["enc"].chunks]
     size = np.concatenate([np.empty(0, np.int32), *(e.value_lengths().to_numpy() for e in enc)])
     flat = np.concatenate([np.empty(0, np.int32), *(e.flatten().to_numpy() for e in enc)])
     return [p.encode("latin-1").decode() for p in names], (size, flat)
@@ -279,6 +293,7 @@ def chunks(docs: DataFrame, pattern: str, common, ranks, merges, chunk: int = CH
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim()
         match = regex.compile(pattern)
         names = common.value
         index = dict(zip(names, range(len(names))))
@@ -372,6 +387,18 @@ class Pieces:
         self.size, self.flat = size, flat
         self.offs = np.cumsum(size, dtype=np.int64) - size
         self.long: list[np.ndarray] = []
+        self.room: dict[str, np.ndarray] = {}
+
+    def append(self, name: str, more: np.ndarray) -> None:
+        """Add to one of the arrays, which is the first part of a longer one, so that few additions copy it."""
+        have = getattr(self, name)
+        n = len(have) + len(more)
+        room = self.room.get(name)
+        if room is None or len(room) < n:
+            room = self.room[name] = np.empty(n + n // 8, have.dtype)
+            room[: len(have)] = have
+        room[len(have) : n] = more
+        setattr(self, name, room[:n])
 
     def add(self, enc: pa.ListArray, n_long: int) -> None:
         """Further pieces; the last n_long of them are the long ones."""
@@ -379,8 +406,9 @@ class Pieces:
         self.long += [np.array(e.as_py(), np.int32) for e in enc[n:]]
         enc = enc[:n]
         got = enc.value_lengths().to_numpy()
-        self.offs = np.concatenate([self.offs, len(self.flat) + np.cumsum(got, dtype=np.int64) - got])
-        self.size, self.flat = np.concatenate([self.size, got]), np.concatenate([self.flat, enc.flatten().to_numpy()])
+        self.append("offs", len(self.flat) + np.cumsum(got, dtype=np.int64) - got)
+        self.append("size", got)
+        self.append("flat", enc.flatten().to_numpy())
 
     def text(self, at: np.ndarray) -> np.ndarray:
         """Ids of the pieces at these positions."""
@@ -413,6 +441,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     rows = rows.select("ids", "places", "sizes", "begin", "long", merge_pieces(F.col("cells"), path).alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim()
         have = None
         for b in batches:
             for r in range(b.num_rows):

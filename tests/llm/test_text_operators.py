@@ -454,3 +454,16 @@ def test_words_after_spaces():
         assert spaced_words(whole) == (whole, [])
     assert spaced_words("a b\nc  d") == ("a", ["b\nc", "", "d"]) and spaced_words("a\n b") == ("a\n", ["b"])
     assert spaced_words("") == ("", []) and spaced_words(" a") == ("", ["a"]) and spaced_words("a ") == ("a", [""])
+
+
+def test_pieces_are_appended_in_place():
+    """Small additions don't copy what a task holds, and leave the shared arrays as they were."""
+    import pyarrow as pa
+
+    size, flat = np.ones(8_000, np.int32), np.arange(8_000, dtype=np.int32)
+    have, moved = byte_bpe.Pieces(size, flat), 0
+    for k in range(100):
+        before = have.flat
+        have.add(pa.array([[k, k], [7]], pa.list_(pa.int32())), 0)
+        moved += not np.shares_memory(before, have.flat)
+    assert moved < 3 and len(flat) == 8_000 and have.text(np.array([0, 8_000, 8_001, 8_198])).tolist() == [0, 0, 0, 7, 99, 99]
